@@ -42,7 +42,8 @@ UNIT = 64
 END_ID = 1
 #: Ranks are counted within about this many pieces of one length at a time.
 BUCKET_PIECES = 100_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+CACHE_RUNS = 600_000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -56,40 +57,73 @@ def _class(prefix: str) -> str:
 
 
 class WordTokenizer:
-    """Ids of a word-level BPE tokenizer, with a bounded cache of words.
-
-    Merges never cross the pre-tokenizer's words, so a word's ids don't depend on
-    what stands around it. Texts outside the plain character range, or with
-    something that could be a special token, go to the tokenizer as they are.
+    """Ids of a word-level BPE tokenizer, with bounded caches.
+
+    The pre-tokenizer's words never hold white space and merges never cross
+    words, so the ids of a run between white space don't depend on what stands
+    around it: runs are looked up first, then the words of those not yet seen,
+    and only new words reach the BPE model. Texts outside the plain character
+    range, or with something that could be a special token, go to the tokenizer
+    as they are.
     """
 
     _letters, _digits = _class("L"), _class("N")
     _words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_digits}]|[^\s{_letters}{_digits}]+")
     #: other scripts, separators on which engines differ, I with dot, special tokens
     _odd = re.compile("[^\x00-ſ]|[\x00-\x08\x0e-\x1f\x7f-\xa0\xadİŉ]|<\\|")
+    _plain_bytes = bytes(c for c in range(256) if not re.match("[\x00-\x08\x0e-\x1f\x7f-\xa0\xad]", chr(c)))
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.inner = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.model = Tokenizer(self.inner.model)
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = {b: split.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+        for b in range(128, 256):  # the second byte of U+0080 to U+00BF, and the first bytes, in turn
+            c = bytes([0xC2, b]) if b < 0xC0 else bytes([b, 0x80])
+            if b < 0xC2 and b >= 0xC0 or b > 0xDF:
+                continue  # no character of the plain range has this byte
+            shown = split.pre_tokenize_str(c.decode())[0][0]
+            letters[b] = shown[1] if b < 0xC0 else shown[0]
+        self.letters = letters
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _plain(self, text: str) -> bool:
+        if "<|" in text:
+            return False
+        try:
+            rest = text.encode("latin-1").translate(None, self._plain_bytes)
+        except UnicodeEncodeError:
+            rest = b"?" if self._odd.search(text) else b""
+        return not rest and unicodedata.is_normalized("NFC", text)
+
+    def _learn(self, runs: list[str]) -> None:
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        words = self.words
+        split = [self._words.findall(r.lower()) for r in runs]
+        new = list({w for ws in split for w in ws if w not in words})
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            shown = [w.encode().decode("latin-1").translate(self.letters) for w in part]
+            e = self.model.encode(shown, is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(e.ids, "<u4")
+            ends = np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(part)))
+            for w, lo, hi in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
+                words[w] = ids[lo:hi].tobytes()
+        for r, ws in zip(runs, split):
+            self.runs[r] = b"".join([words[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
-        words: list[list[str] | None] = []
-        for t in texts:
-            plain = not self._odd.search(t) and unicodedata.is_normalized("NFC", t)
-            words.append(self._words.findall(t.lower()) if plain else None)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        new = list({w for ws in words if ws for w in ws if w not in cache})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.inner.encode_batch(part, add_special_tokens=False)):
-                cache[w] = np.asarray(e.ids, "<u4").tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else np.asarray(self.inner.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ws in zip(texts, words)]
+        split = [t.split() if self._plain(t) else None for t in texts]
+        if len(self.runs) > CACHE_RUNS:
+            self.runs.clear()
+        self._learn(list(set().union(*(s for s in split if s)).difference(self.runs)))
+        get = self.runs.__getitem__
+        return [b"".join(map(get, s)) if s is not None else np.asarray(self.inner.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, s in zip(texts, split)]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
