@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from inkmill.llm import chat, jaccard, langid, media, packing, quality, sharding, toxicity, urls
+from inkmill.llm import chat, jaccard, langid, media, packing, quality, sentencepieces, sharding, toxicity, urls
 
 
 def queries():
     return {
+        "op1_sentencepiece": sentencepieces.op1_sentencepiece,
         "op2_sharding": sharding.op2_sharding,
         "op3_packing": packing.op3_packing,
         "op4_quality_rules": quality.op4_quality_rules,
