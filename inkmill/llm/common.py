@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +21,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkmill-checkpoint-"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there."""
+def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back from there.
+
+    A Parquet table by default: later plans then know its size. A checkpoint
+    keeps the estimates of the plan it came from (which multiply with each join
+    of an iteration) but also its partitioning and order: ``keep_layout``.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if keep_layout:
+        return df.checkpoint(eager=True)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

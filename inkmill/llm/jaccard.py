@@ -11,8 +11,9 @@ is known, not so that every pair in it is listed.
    of each, in any common order. The order here is by the sketch's count, in
    powers of two, then by hash: shingles that many documents have come last, so
    that common passages give few candidates. The sketch only sets the order; the
-   bound holds whatever it says. Prefix shingles of one document alone are
-   dropped after one shuffle of (shingle, doc_id).
+   bound holds whatever it says. After one
+   shuffle by shingle, rows go whose shingle no document of fitting size has; the
+   place in the prefix bounds which sizes fit (the later, the fewer).
 3. *Rounds.* Documents that share a prefix shingle form a group. In each round a
    group names a few leaders; they are held against the group's members of other
    components and of fitting size, then leave the group. A group ends when what
@@ -54,7 +55,7 @@ SKETCH_BITS = 22
 BLOOM_BITS = 25
 BLOCK = 1 << 16
 #: Leaders that a group names in each round; the last number goes on.
-LEADERS = (1, 2, 8, 32, 128)
+LEADERS = (1, 8, 64, 512)
 #: Members in one block of inverted lists.
 MEMBERS = 256
 MU = 0.01  # the weight of a binary search against a step of the merge
@@ -137,37 +138,61 @@ def _sets_and_sketch(docs: DataFrame) -> DataFrame:
 
 def _order_levels(sketch: np.ndarray | None) -> np.ndarray:
     """Powers of two by which a counter stands above its array's mean."""
-    if sketch is None:
-        return np.zeros(1 << SKETCH_BITS, np.uint8)
-    mean = max(1.0, sketch.mean())
-    return np.floor(np.log2(np.maximum(1.0, 2 * sketch / mean))).astype(np.uint8) if mean > 1 else np.floor(np.log2(np.maximum(1, sketch))).astype(np.uint8)
+    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
+    if sketch is not None:
+        unit = max(1.0, float(sketch.mean(dtype=np.float64)) / 2)
+        for at in range(0, len(sketch), BLOCK):
+            levels[at : at + BLOCK] = np.log2(np.maximum(1, sketch[at : at + BLOCK] / np.float32(unit)))
+    return levels
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(shingle, doc_id) for each document's prefix, once for a task's copies."""
+    """(h, doc_id, n, most) for each document's prefix, once for a task's copies.
+
+    ``most`` is the size of the largest set that may link with this one if h is
+    the first shingle that both have: of n shingles i precede h, so the overlap is
+    n - i at most, and 9 * overlap >= 4 * (n + m).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level, seen = shared.value, set()
         for batch in batches:
-            ids, hashes, size = [], [], 0
+            parts: list[tuple[np.ndarray, ...]] = []
+            size = 0
+
+            def table() -> pd.DataFrame:
+                return pd.DataFrame(dict(zip(("h", "doc_id", "n", "most"), map(np.concatenate, zip(*parts)))))
+
             for i, s in zip(batch["doc_id"], shingle_sets(batch["text"])):
                 if not len(s) or (sig := _signature(s)) in seen:
                     continue
                 seen.add(sig)
-                k = prefix_length(len(s))
+                n, k = len(s), prefix_length(len(s))
                 by_level = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 first = s[np.argsort(by_level, kind="stable")[:k]]  # s is sorted by hash already
-                ids.append(np.full(k, i, np.int64))
-                hashes.append(_signed(first))
+                most = 9 * (n - np.arange(k)) // 4 - n
+                parts.append((_signed(first), np.full(k, i, np.int64), np.full(k, n, np.int32), most.astype(np.int32)))
                 size += k
-                if size > 500_000:
-                    yield pd.DataFrame({"h": np.concatenate(hashes), "doc_id": np.concatenate(ids)})
-                    ids, hashes, size = [], [], 0
-            if ids:
-                yield pd.DataFrame({"h": np.concatenate(hashes), "doc_id": np.concatenate(ids)})
+                if size > 300_000:
+                    yield table()
+                    parts, size = [], 0
+            if parts:
+                yield table()
 
-    return docs.selectExpr(*_TEXT).filter("doc_id is not null").mapInPandas(run, "h long, doc_id long")
+    return docs.selectExpr(*_TEXT).filter("doc_id is not null").mapInPandas(run, "h long, doc_id long, n int, most int")
+
+
+def _with_partner(rows: DataFrame) -> DataFrame:
+    """Drop rows (h, .., n, most) for whose size no other row of h can be a partner.
+
+    By size: a smaller partner must allow for this row's n, a larger one is
+    allowed if the next larger is.
+    """
+    by_size = W.partitionBy("h").orderBy("n")
+    smaller = F.max("most").over(by_size.rowsBetween(W.unboundedPreceding, -1))
+    marked = rows.withColumn("__smaller", smaller).withColumn("__next", F.lead("n").over(by_size))
+    return marked.filter("__smaller >= n or __next <= most").drop("__smaller", "__next")
 
 
 # --- 4: T-occurrence search ------------------------------------------------------
@@ -322,7 +347,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _link_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, comp) of representatives whose component isn't their own. ``groups``: h, rep, n, comp."""
+    """(rep, comp) of representatives whose component isn't their own. ``groups``: h, rep, n, most, comp."""
     spark = groups.sparkSession
     moved = spark.createDataFrame([], "rep long, comp long")
     rounds = 0
@@ -330,9 +355,9 @@ def _link_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
         slots = LEADERS[min(rounds, len(LEADERS) - 1)]
         slot = F.pmod(F.xxhash64("rep", F.lit(rounds)), F.lit(slots))
         # partial minima first, so a large group isn't gathered
-        best = groups.groupBy("h", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n", "comp")).alias("l"))
-        leaders = cut_lineage(best.select("h", F.col("l.rep").alias("leader"), F.col("l.n").alias("l_n"), F.col("l.comp").alias("l_comp")))
-        met = groups.join(leaders, "h").filter("rep <> leader and comp <> l_comp and 5 * least(n, l_n) >= 4 * greatest(n, l_n)")
+        best = groups.groupBy("h", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n", "most", "comp")).alias("l"))
+        leaders = cut_lineage(best.select("h", F.col("l.rep").alias("leader"), F.col("l.n").alias("l_n"), F.col("l.most").alias("l_most"), F.col("l.comp").alias("l_comp")))
+        met = groups.join(leaders, "h").filter("rep <> leader and comp <> l_comp and n <= l_most and l_n <= most")
         # of two leaders, the pair is asked for once
         pairs = met.select("leader", "rep").distinct()
         pairs = cut_lineage(pairs)
@@ -355,9 +380,9 @@ def _link_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
             fresh = relabel.filter("node <> label").select(F.col("node").alias("rep"), F.col("label").alias("comp"))
             moved = cut_lineage(kept.unionByName(fresh).groupBy("rep").agg(F.min("comp").alias("comp")))
             now = moved.select(F.col("rep").alias("r"), F.col("comp").alias("c"))
-            groups = groups.join(now, F.col("rep") == F.col("r"), "left").select("h", "rep", "n", F.coalesce("c", "comp").alias("comp"))
+            groups = groups.join(now, F.col("rep") == F.col("r"), "left").select("h", "rep", "n", "most", F.coalesce("c", "comp").alias("comp"))
         open_groups = groups.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
-        groups = cut_lineage(groups.join(open_groups, "h", "left_semi"))
+        groups = cut_lineage(_with_partner(groups.join(open_groups, "h", "left_semi")))
         rounds += 1
     return moved
 
@@ -370,16 +395,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     copies = own.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     mapped = cut_lineage(own.join(copies, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("rep")))
 
-    prefix = _prefixes(docs, levels).repartition("h")
-    several = prefix.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("h"))).filter("c > 1").drop("c")
-    several = cut_lineage(several)
-    named = several.join(mapped.select("doc_id", "n", "rep").distinct(), "doc_id").select("h", "rep", "n").distinct()
-    shared = named.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("h")
-    groups = cut_lineage(named.join(shared, "h", "left_semi").withColumn("comp", F.col("rep")))
+    # one shuffle of the prefixes; what no other document's prefix meets goes
+    several = cut_lineage(_with_partner(_prefixes(docs, levels).repartition("h")))
+    named = several.join(mapped.select("doc_id", "rep").distinct(), "doc_id").groupBy("h", "rep").agg(F.max("n").alias("n"), F.max("most").alias("most"))
+    groups = cut_lineage(_with_partner(named).withColumn("comp", F.col("rep")))
 
-    reps = groups.select("rep").distinct()
-    sets = _candidate_sets(docs, reps).dropDuplicates(["id"]).join(reps, F.col("id") == F.col("rep"), "left_semi")
-    moved = _link_groups(groups, cut_lineage(sets))
+    # laid out by id once, so that the rounds' joins move pairs and not sets
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = _candidate_sets(docs, groups.select("rep").distinct()).repartition(parts, "id").sortWithinPartitions("id")
+    moved = _link_groups(groups, cut_lineage(sets, keep_layout=True))
     joined = mapped.join(moved, "rep", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
