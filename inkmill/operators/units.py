@@ -59,7 +59,12 @@ def wave_plan(docs: DataFrame) -> DataFrame:
 
 
 def explode_units(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode("units").alias("unit_idx", "u")).select("doc_id", "unit_idx", "u.*")
+    """One row per unit.
+
+    An inner explode would infer a filter on the array's size and push its whole
+    expression below the projections that build it; an outer one doesn't.
+    """
+    return docs.select("doc_id", F.posexplode_outer("units").alias("unit_idx", "u")).filter("u is not null").select("doc_id", "unit_idx", "u.*")
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -74,7 +79,7 @@ def windows(docs: DataFrame) -> DataFrame:
            else named_struct('open', true, 'used', a.used + least(length(v.text), {WINDOW_CHARS} - a.used), 'out', array_append(a.out, left(v.text, {WINDOW_CHARS} - a.used))) end, a -> array_join(a.out, '\\n\\n'))"""
     before = f"transform(array(units[i - 1]), v -> case when {same} then struct(v.id as id, right(v.text, {WINDOW_CHARS}) as text) end)[0]"
     rows = docs.withColumn("__c", F.expr(f"transform(units, (u, i) -> struct(u as u, i as unit_idx, case when i > 0 then {before} end as p, {strip(after)} as next_source))"))
-    return rows.select("doc_id", F.explode("__c").alias("c")).selectExpr("doc_id", "c.unit_idx", "c.u.*", "c.p.id as previous_id", "coalesce(c.p.text, '') as previous_source", "c.next_source")
+    return rows.select("doc_id", F.explode_outer("__c").alias("c")).filter("c is not null").selectExpr("doc_id", "c.unit_idx", "c.u.*", "c.p.id as previous_id", "coalesce(c.p.text, '') as previous_source", "c.next_source")
 
 
 def with_previous_zh(rows: DataFrame, zh: DataFrame) -> DataFrame:
