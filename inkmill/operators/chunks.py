@@ -21,7 +21,7 @@ def body_end(pages: DataFrame) -> DataFrame:
     References are looked for from 35 % of the pages on; at page 1 they don't cut.
     """
     sized = pages.groupBy("doc_id").agg(F.max("page_no").cast("int").alias("total_pages"))
-    heads = pages.join(sized, "doc_id").filter(f"page_no >= greatest(1, cast(floor(total_pages * 0.35) as int)) and rlike(text, '{REFERENCES_LINE}')")
+    heads = pages.select("doc_id", "page_no", "text").join(sized, "doc_id").filter(f"page_no >= greatest(1, cast(floor(total_pages * 0.35) as int)) and rlike(text, '{REFERENCES_LINE}')")
     first = heads.groupBy("doc_id").agg(F.min("page_no").cast("int").alias("at"))
     ended = sized.join(first, "doc_id", "left").withColumn("body_end", F.expr("case when at > 1 then at - 1 end"))
     return ended.selectExpr("doc_id", "total_pages", "body_end", "case when body_end < total_pages then body_end else total_pages end as used_pages")

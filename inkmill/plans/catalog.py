@@ -120,9 +120,9 @@ sections as (select doc_id, (sec - 1)::int as section_idx, first(length(regexp_e
 _PARAS = "unnest(list_filter(list_transform(regexp_split_to_array({0}, '\\n{{2,}}'), lambda p: trim(p, chr(10))), lambda p: regexp_matches(p, '\\S')))"
 #: Segments of the papers: sections before the references are folded, later ones are whole.
 _SEGMENTS = f"""{_SECTIONS},
-ref as (select doc_id, min(section_idx) as at from sections where regexp_matches(lower(heading_text), '^(references|bibliography)') group by doc_id),
+ref as (select doc_id, min(section_idx) as cut_at from sections where regexp_matches(lower(heading_text), '^(references|bibliography)') group by doc_id),
 para as (select doc_id, section_idx, heading_level, heading_text, is_ref, row_number() over (partition by doc_id, section_idx order by o) as k, p from
-  (select s.doc_id, section_idx, heading_level, heading_text, coalesce(section_idx >= at, false) as is_ref, generate_subscripts(ps, 1) as o, unnest(ps) as p from
+  (select s.doc_id, section_idx, heading_level, heading_text, coalesce(section_idx >= cut_at, false) as is_ref, generate_subscripts(ps, 1) as o, unnest(ps) as p from
     (select *, list_filter(list_transform(regexp_split_to_array(body, '\\n{{2,}}'), lambda p: trim(p, chr(10))), lambda p: regexp_matches(p, '\\S')) as ps from sections) s left join ref on ref.doc_id = s.doc_id)),
 fold as (
   select doc_id, section_idx, k, 1 as chunk, case when length(p) >= 10000 then 0 else length(p) + 2 end as n, length(p) >= 10000 as alone from para where k = 1
@@ -167,7 +167,7 @@ def oracle_sql():
     q["c7_table_block"] = f"with {fixtures.DUCK_PAGES} select doc_id, page_no, chr(10) || chr(10) || '![' || case when page_no % 2 = 0 then 'a)b c' else 'Table p' || page_no || '-1' end || '](assets/tables/' || page_no || ')' || chr(10) || chr(10) as block from paged"
     q["c10_compact_blank_lines"] = rf"with {_P} select doc_id, regexp_replace(replace(md, chr(10), chr(10) || chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g') as md from paper"
     tail = "chr(10) || text || chr(10) || '| 表,格 |' || chr(10) ||"
-    q["c11_full_width_punctuation"] = f"select doc_id, '使用Transformer架构,效果好。' || {tail} '好！ 吗?x中：文' as md from documents"
+    q["c11_full_width_punctuation"] = f"select doc_id, '使用Transformer架构，效果好。' || {tail} '好！ 吗?x中：文' as md from documents"
     q["c12_space_cjk_alnum"] = f"select doc_id, '使用 Transformer 架构,效果好.' || {tail} '好! 吗?x 中:文' as md from documents"
     q["m4_split_sections"] = f"with {_SECTIONS} select doc_id, section_idx, heading_level, heading_text, length(body) as body_chars from sections"
     q["m8_paragraphs"] = f"with {_P} select doc_id, row_number() over (partition by doc_id order by o) - 1 as k, p from (select doc_id, generate_subscripts(ps, 1) as o, unnest(ps) as p from (select doc_id, list_filter(list_transform(regexp_split_to_array(md, '\\n{{2,}}'), lambda p: trim(p, chr(10))), lambda p: regexp_matches(p, '\\S')) as ps from paper))"
@@ -189,8 +189,8 @@ def oracle_sql():
     q["b7_unit_ratios"] = f"""with recursive {_SEGMENTS}, r as (select s.doc_id, id, greatest(char_len, 1) as en, {_TRIM.format('zh')} as z from segs s join zh on zh.doc_id = s.doc_id and zh.unit_id = s.id where not is_reference and zh is not null)
       select doc_id, id, en, length(z) as zh_len, case when length(z) = 0 then 'EMPTY' when length(z) / en not between 0.3 and 2.5 then 'BAD' else 'OK' end as status, length(z) > 0 and length(regexp_replace(z, '\\P{{L}}', '', 'g')) > 0 and {_ASCII.format('z')} as untranslated from r"""
     q["w4_mostly_english"] = f"select doc_id, length(regexp_replace(text, '\\P{{L}}', '', 'g')) > 0 and {_ASCII.format('text')} as untranslated from documents"
-    q["p1_body_end"] = rf"""with {fixtures.DUCK_PAGES}, f as (select doc_id, min(page_no) as at from paged where page_no >= greatest(1, floor(total_pages * 0.35)) and regexp_matches(text, '(?im)^\s*((\d+[.\s]+)?(references|bibliography)|参考文献)\s*$') group by doc_id)
-      select s.doc_id, total_pages, case when at > 1 then at - 1 end as body_end, case when at > 1 and at - 1 < total_pages then at - 1 else total_pages end as used_pages from sizes s left join f on f.doc_id = s.doc_id"""
+    q["p1_body_end"] = rf"""with {fixtures.DUCK_PAGES}, f as (select doc_id, min(page_no) as cut_at from paged where page_no >= greatest(1, floor(total_pages * 0.35)) and regexp_matches(text, '(?im)^\s*((\d+[.\s]+)?(references|bibliography)|参考文献)\s*$') group by doc_id)
+      select s.doc_id, total_pages, case when cut_at > 1 then cut_at - 1 end as body_end, case when cut_at > 1 and cut_at - 1 < total_pages then cut_at - 1 else total_pages end as used_pages from sizes s left join f on f.doc_id = s.doc_id"""
     q["p3_chunk_plan"] = f"with {_CHUNKS} select doc_id, chunk_id, start_page, end_page from plan"
     q["p4_choose_engine"] = f"with {fixtures.DUCK_SIZES} select doc_id, case when total_pages > 8 then 'marker-chunked' else 'marker' end as engine from sizes"
     q["p5_progress"] = f"with {_CHUNKS} select doc_id, count(*) as total, count_if(k in (0, 3, 4)) as completed, count_if(k = 1) as failed, count_if(k = 2) as running, count_if(k = 5) as pending from st group by doc_id"
