@@ -21,7 +21,9 @@ is known, not so that every pair in it is listed.
    rounds without all its pairs. The number of leaders grows from
    round to round, so that every pair of a group is decided in the end.
 4. *T-occurrence search* decides: a leader's shingles are the query, the members'
-   sets (in blocks of bounded size) the inverted lists. Short lists are merged,
+   sets (in blocks of bounded size) the inverted lists. Before sets are moved,
+   bitmaps of about a byte a shingle are: a bit that one set has and the other
+   hasn't is a shingle not shared, and pairs with too many of them go. Short lists are merged,
    members short of the required overlap by more than the long lists could add
    are dropped, and the rest are looked up in the long lists by binary search
    (DivideSkip).
@@ -234,6 +236,78 @@ def divide_skip(query: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
     return alive[counts[alive] >= need[alive]]
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits at the shingles' low bits: a power of two of them, four a shingle at least."""
+    size = 1 << max(6, (4 * len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_link(query: bytes, n: int, members: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Indexes of the members that their bitmaps don't rule out; no pair that links is ruled out.
+
+    The larger bitmap of two is folded to the smaller one's size, so a bit of one
+    side alone still stands for a shingle of one side alone.
+    """
+    alive = np.zeros(len(members), bool)
+    by_length = np.array([len(m) for m in members])
+    for length in np.unique(by_length):
+        at = np.flatnonzero(by_length == length)
+        theirs = np.frombuffer(b"".join(members[k] for k in at), np.uint8).reshape(len(at), length)
+        own = np.frombuffer(query, np.uint8)
+        width = min(length, len(own))
+        own = np.bitwise_or.reduce(own.reshape(-1, width), axis=0)
+        theirs = np.bitwise_or.reduce(theirs.reshape(len(at), -1, width), axis=1)
+        only_own = np.bitwise_count(own & ~theirs).sum(axis=1, dtype=np.int64)
+        only_theirs = np.bitwise_count(theirs & ~own).sum(axis=1, dtype=np.int64)
+        most = np.minimum(n - only_own, sizes[at] - only_theirs)
+        alive[at] = most >= required(n, sizes[at])
+    return np.flatnonzero(alive)
+
+
+def _rule_out(rows: DataFrame) -> DataFrame:
+    """(leader, rep) of the pairs that may link. Rows come sorted as for ``_search``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, query, n, ids, sizes, bits = None, None, 0, [], [], []
+        left: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if query is not None and ids:
+                left.extend((key[0], ids[k]) for k in may_link(query, n, bits, np.array(sizes)))
+
+        for batch in batches:
+            for leader, block, kind, doc, size, data in zip(*(batch[c] for c in ("leader", "block", "kind", "id", "n", "bits"))):
+                if (leader, block) != key:
+                    close()
+                    key, query, n, ids, sizes, bits = (leader, block), None, 0, [], [], []
+                if kind == 0:
+                    query, n = data, size
+                else:
+                    ids.append(doc)
+                    sizes.append(size)
+                    bits.append(data)
+            if left:
+                yield pd.DataFrame(left, columns=["leader", "rep"])
+                left.clear()
+        close()
+        if left:
+            yield pd.DataFrame(left, columns=["leader", "rep"])
+
+    return rows.mapInPandas(run, "leader long, rep long")
+
+
+def _dealt(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """(leader, block, kind, id, *columns): for blocks of pairs the leader's row, then the members'."""
+    blocks = pairs.groupBy("leader").agg(F.expr(f"cast(ceil(count(*) / {MEMBERS}) as int)").alias("blocks"))
+    placed = pairs.join(blocks, "leader").select("leader", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep")
+    members = placed.join(sets, F.col("rep") == F.col("id")).select("leader", "block", F.lit(1).alias("kind"), "id", *columns)
+    heads = blocks.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    heads = heads.join(sets, F.col("leader") == F.col("id")).select("leader", "block", F.lit(0).alias("kind"), "id", *columns)
+    return members.unionByName(heads).repartition("leader", "block").sortWithinPartitions("leader", "block", "kind")
+
+
 def _search(rows: DataFrame) -> DataFrame:
     """Links between leaders and members. Rows come sorted by leader, block, kind: the leader's own set first."""
 
@@ -267,7 +341,7 @@ def _search(rows: DataFrame) -> DataFrame:
 
 
 def _candidate_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(id, data): sets of the representatives, and of a few others that the Bloom filter lets through."""
+    """(id, n, bits, data): sets of the representatives, and of a few others that the Bloom filter lets through."""
 
     def positions(ids: np.ndarray) -> list[np.ndarray]:
         h = mix(ids.astype(np.int64).view(np.uint64))
@@ -295,12 +369,12 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
             part = batch[keep]
             for lo in range(0, len(part), 500):
                 some = part.iloc[lo : lo + 500]
-                sets = [s.tobytes() for s in shingle_sets(some["text"])]
-                yield pd.DataFrame({"id": some["doc_id"].to_numpy(), "data": sets})
+                sets = list(shingle_sets(some["text"]))
+                yield pd.DataFrame({"id": some["doc_id"].to_numpy(), "n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets], "data": [s.tobytes() for s in sets]})
 
     if bloom is None:
-        return docs.sparkSession.createDataFrame([], "id long, data binary")
-    return docs.selectExpr(*_TEXT).filter("doc_id is not null").mapInPandas(run, "id long, data binary")
+        return docs.sparkSession.createDataFrame([], "id long, n int, bits binary, data binary")
+    return docs.selectExpr(*_TEXT).filter("doc_id is not null").mapInPandas(run, "id long, n int, bits binary, data binary")
 
 
 def _add_up_bits(blocks: DataFrame) -> np.ndarray | None:
@@ -361,13 +435,8 @@ def _link_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
         # of two leaders, the pair is asked for once
         pairs = met.select("leader", "rep").distinct()
         pairs = cut_lineage(pairs)
-        blocks = pairs.groupBy("leader").agg(F.expr(f"cast(ceil(count(*) / {MEMBERS}) as int)").alias("blocks"))
-        placed = pairs.join(blocks, "leader").select("leader", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep")
-        members = placed.join(sets, F.col("rep") == F.col("id")).select("leader", "block", F.lit(1).alias("kind"), "id", "data")
-        heads = blocks.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        heads = heads.join(sets, F.col("leader") == F.col("id")).select("leader", "block", F.lit(0).alias("kind"), "id", "data")
-        rows = members.unionByName(heads).repartition("leader", "block").sortWithinPartitions("leader", "block", "kind")
-        links = cut_lineage(_search(rows))
+        pairs = cut_lineage(_rule_out(_dealt(pairs, sets, "n", "bits")))
+        links = cut_lineage(_search(_dealt(pairs, sets, "data")))
         groups = groups.join(leaders.select("h", F.col("leader").alias("rep")), ["h", "rep"], "left_anti")
         if not links.isEmpty():
             # links of this round, between the components of the rounds before

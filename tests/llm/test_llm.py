@@ -228,3 +228,21 @@ def test_language(spark):
 def test_urls(spark, url, rule, verdict):
     row = urls.judge_urls(spark.createDataFrame([(1, url, "r")], "page_id long, url string, rule string")).first()
     assert (row.rule, row.verdict) == (rule, verdict)
+
+
+def test_bitmaps_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(1, 400))
+        query = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        members = [np.zeros(0, np.uint64), query]
+        for share in (0.2, 0.7, 0.8, 0.9, 1.0):
+            kept = query[rng.random(len(query)) < share]
+            more = rng.integers(0, 1 << 63, int(rng.integers(0, len(query) // 3 + 2)), np.uint64)
+            members.append(np.unique(np.concatenate([kept, more])))
+        sizes = np.array([len(m) for m in members])
+        overlap = np.array([len(np.intersect1d(query, m)) for m in members])
+        links = set(np.flatnonzero(9 * overlap >= 4 * (len(query) + sizes)))
+        left = set(jaccard.may_link(jaccard.bitmap(query), len(query), [jaccard.bitmap(m) for m in members], sizes))
+        assert links <= left
+        assert set(jaccard.divide_skip(query, members)) == links
