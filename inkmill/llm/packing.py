@@ -23,6 +23,7 @@ any length are cut, never truncated. Other columns of the input are dropped.
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 import zlib
@@ -79,7 +80,7 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.model = Tokenizer(self.inner.model)
         split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = {b: split.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+        letters = {b: split.pre_tokenize_str(chr(b))[0][0] for b in range(1, 128)}
         for b in range(128, 256):  # the second byte of U+0080 to U+00BF, and the first bytes, in turn
             c = bytes([0xC2, b]) if b < 0xC0 else bytes([b, 0x80])
             if b < 0xC2 and b >= 0xC0 or b > 0xDF:
@@ -103,27 +104,37 @@ class WordTokenizer:
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         words = self.words
-        split = [self._words.findall(r.lower()) for r in runs]
-        new = list({w for ws in split for w in ws if w not in words})
+        lone = [r for r in runs if r.isalpha()]  # one word each
+        mixed = [r for r in runs if not r.isalpha()]
+        lower = [r.lower() for r in lone]
+        split = [self._words.findall(r.lower()) for r in mixed]
+        new = list(set(lower).union(*split).difference(words))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            shown = [w.encode().decode("latin-1").translate(self.letters) for w in part]
+            # words of plain texts hold no NUL
+            shown = "\0".join(part).encode().decode("latin-1").translate(self.letters).split("\0")
             e = self.model.encode(shown, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(e.ids, "<u4")
-            ends = np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(part)))
-            for w, lo, hi in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
-                words[w] = ids[lo:hi].tobytes()
-        for r, ws in zip(runs, split):
-            self.runs[r] = b"".join([words[w] for w in ws])
+            raw = np.asarray(e.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(part)))).tolist()
+            words.update(zip(part, [raw[lo:hi] for lo, hi in zip([0, *ends], ends)]))
+        get = words.__getitem__
+        self.runs.update(zip(lone, map(get, lower)))
+        self.runs.update(zip(mixed, [b"".join(map(get, ws)) for ws in split]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
-        split = [t.split() if self._plain(t) else None for t in texts]
-        if len(self.runs) > CACHE_RUNS:
-            self.runs.clear()
-        self._learn(list(set().union(*(s for s in split if s)).difference(self.runs)))
-        get = self.runs.__getitem__
-        return [b"".join(map(get, s)) if s is not None else np.asarray(self.inner.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, s in zip(texts, split)]
+        collects = gc.isenabled()
+        gc.disable()  # many short-lived strings and lists, and no cycles
+        try:
+            split = [t.split() if self._plain(t) else None for t in texts]
+            if len(self.runs) > CACHE_RUNS:
+                self.runs.clear()
+            self._learn(list(set().union(*(s for s in split if s)).difference(self.runs)))
+            get = self.runs.__getitem__
+            return [b"".join(map(get, s)) if s is not None else np.asarray(self.inner.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, s in zip(texts, split)]
+        finally:
+            if collects:
+                gc.enable()
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
