@@ -43,8 +43,8 @@ UNIT = 64
 END_ID = 1
 #: Ranks are counted within about this many pieces of one length at a time.
 BUCKET_PIECES = 100_000
-CACHE_WORDS = 300_000
-CACHE_RUNS = 600_000
+CACHE_WORDS = 600_000
+CACHE_RUNS = 1_200_000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
