@@ -28,6 +28,7 @@ other columns are dropped.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator, Sequence
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from inkmill.llm.common import load
 
 MARK = "▁"
-CACHE_RUNS = 600_000
+CACHE_RUNS = 1_200_000
 CACHE_PAIRS = 500_000
 #: Runs up to this many characters are remembered.
 RUN_CHARS = 48
@@ -280,7 +281,13 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
                 texts = [x if isinstance(x, str) else "" for x in part["text"]]
-                ids = [model.encode(t) for t in texts]
+                collects = gc.isenabled()
+                gc.disable()  # many short-lived tuples and lists, and no cycles
+                try:
+                    ids = [model.encode(t) for t in texts]
+                finally:
+                    if collects:
+                        gc.enable()
                 same = [model.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_pieces": [len(i) for i in ids], "ids": [np.array(i, np.int32) for i in ids], "round_trip": same})
 
