@@ -3,9 +3,13 @@
 ``to_wav`` stores a payload losslessly as unsigned 8-bit mono samples with the
 standard library's ``wave`` module; ``fingerprint`` reads samples, takes a
 short-time Fourier transform, keeps the strongest peak of each frequency band
-per frame and pairs each peak with the ones of the next frames. A pair is one
-32-bit code (first band peak, second band peak, time difference) with the frame
-number of its first peak: two arrays of one length, ordered by time and code.
+per frame and pairs each peak with the ones of its own and of the next frames.
+A pair is one 32-bit code (first band peak, second band peak, time difference)
+with the frame number of its first peak: two arrays of one length, ordered by
+time and code. Frames overlap by half, over samples padded by half a frame of
+silence at both ends: the window is 0 at the ends of a frame, and there another
+frame has its middle. So every sample counts, and one payload unit has two
+frames.
 
 Defined results: null and empty texts have a payload of 64 zero bytes and
 ``n_bytes`` 0. Equal texts give equal rows. Very long texts are transformed in
@@ -30,7 +34,7 @@ from inkmill.llm.common import load
 PAYLOAD_UNIT = 64
 SAMPLE_RATE = 8000
 FRAME = 128
-HOP = 128
+HOP = FRAME // 2
 #: FFT bins at which the four bands begin and the last one ends.
 BANDS = (1, 6, 14, 30, 64)
 FAN_OUT = 2
@@ -64,12 +68,12 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
 def band_peaks(samples: np.ndarray) -> np.ndarray:
-    """Frames x bands: the FFT bin of each band's strongest coefficient."""
-    n = max(1, -(-len(samples) // HOP))
-    padded = np.full(n * HOP + FRAME - HOP, 128, np.uint8)
-    padded[: len(samples)] = samples
+    """Frames x bands: the FFT bin of each band's strongest coefficient. Frame k is centred on sample k * HOP."""
+    n = -(-len(samples) // HOP) + 1
+    padded = np.full((n - 1) * HOP + FRAME, 128, np.uint8)
+    padded[FRAME // 2 : FRAME // 2 + len(samples)] = samples
     frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
-    peaks = np.empty((n, len(BANDS) - 1), np.int64)
+    peaks = np.empty((n, len(BANDS) - 1), np.int32)
     for at in range(0, n, BLOCK_FRAMES):
         block = (frames[at : at + BLOCK_FRAMES].astype(np.float32) - 128.0) * _WINDOW
         power = np.abs(np.fft.rfft(block, axis=1)).astype(np.float32)
@@ -83,17 +87,14 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     peaks = band_peaks(samples)
     times, codes = [], []
     bands = peaks.shape[1]
-    for dt in range(1, FAN_OUT + 1):
-        if len(peaks) <= dt:
-            break
-        first, second = peaks[:-dt], np.roll(peaks, -1, axis=1)[dt:]  # a peak meets the next band's
+    following = np.roll(peaks, -1, axis=1)  # a peak meets the next band's
+    for dt in range(min(FAN_OUT + 1, len(peaks))):
+        first, second = peaks[: len(peaks) - dt], following[dt:]
         codes.append(((first << 16) | (second << 8) | dt).ravel())
-        times.append(np.repeat(np.arange(len(first)), bands))
-    if not times:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        times.append(np.repeat(np.arange(len(first), dtype=np.int32), bands))
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
-    return t[order].astype(np.int32), c[order].astype(np.int32)
+    return t[order], c[order]
 
 
 def describe(text: str | None) -> tuple:

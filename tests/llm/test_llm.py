@@ -210,6 +210,20 @@ def test_media(spark):
     assert len({r.feature for r in got if r.doc_id in (2, 3)}) == 1
 
 
+def test_media_every_sample_counts():
+    rng = np.random.default_rng(7)
+    for n in (64, 128, 640):
+        noise = rng.integers(100, 156, (8, n)).astype(np.uint8)
+        for at in range(n):  # frame borders too: a changed sample moves a peak of one of the noises
+            loud = noise.copy()
+            loud[:, at] = 255
+            assert any((media.band_peaks(a) != media.band_peaks(b)).any() for a, b in zip(noise, loud))
+        t, c = media.fingerprint(noise[0])
+        assert len(t) == len(c) and set((c & 255).tolist()) == ({0, 1} if n == 64 else {0, 1, 2})
+    short = ["".join(map(chr, rng.integers(97, 123, 64))) for _ in range(100)]
+    assert len({media.describe(t)[6] for t in short}) > 90
+
+
 def test_language(spark):
     rng = random.Random(6)
     words = {"aa": ["thes", "wher", "ing", "tion"], "bb": ["quel", "eaux", "ment", "oire"]}
