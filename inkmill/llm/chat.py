@@ -52,24 +52,24 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def arguments_error(schemas: Mapping[str, Mapping]) -> str:
-    """SQL over ``name`` and the variant ``args``: null, or what is wrong with a call."""
-    cases = ["when args is null then 'arguments are not JSON'", "when not (schema_of_variant(args) like 'OBJECT%') then 'arguments are not an object'"]
+def arguments_error(schemas: Mapping[str, Mapping], name: str = "name", args: str = "args") -> str:
+    """SQL over the columns ``name`` and ``args`` (a variant): null, or what is wrong with a call."""
+    cases = [f"when {args} is null then 'arguments are not JSON'", f"when not (schema_of_variant({args}) like 'OBJECT%') then 'arguments are not an object'"]
     for tool, schema in sorted(schemas.items()):
         checks = []
         for field in schema.get("required", ()):
             path = _quoted(f"$['{field}']")
-            checks.append(f"when try_variant_get(args, {path}, 'variant') is null then {_quoted(f'missing {field}')}")
+            checks.append(f"when try_variant_get({args}, {path}, 'variant') is null then {_quoted(f'missing {field}')}")
         for field, kind in sorted(schema.get("properties", {}).items()):
             path = _quoted(f"$['{field}']")
-            checks.append(f"when not rlike(schema_of_variant(try_variant_get(args, {path}, 'variant')), '^({TYPES[kind]})$') then {_quoted(f'{field} is not {kind}')}")
+            checks.append(f"when not rlike(schema_of_variant(try_variant_get({args}, {path}, 'variant')), '^({TYPES[kind]})$') then {_quoted(f'{field} is not {kind}')}")
         if not schema.get("additional", True):
             names = ", ".join(_quoted(f) for f in sorted(schema.get("properties", {}))) or "''"
-            checks.append(f"when exists(json_object_keys(to_json(args)), k -> k not in ({names})) then 'unknown argument'")
+            checks.append(f"when exists(json_object_keys(to_json({args})), k -> k not in ({names})) then 'unknown argument'")
         if checks:
-            cases.append(f"when name = {_quoted(tool)} then case {' '.join(checks)} end")
+            cases.append(f"when {name} = {_quoted(tool)} then case {' '.join(checks)} end")
         else:
-            cases.append(f"when name = {_quoted(tool)} then cast(null as string)")
+            cases.append(f"when {name} = {_quoted(tool)} then cast(null as string)")
     return f"case {' '.join(cases)} else 'no schema' end"
 
 
@@ -98,27 +98,27 @@ def messages(conversations: DataFrame) -> DataFrame:
 
 
 def tool_calls(msgs: DataFrame) -> DataFrame:
-    """conv_id, turn, call_id, name, args (variant): one row per call, the first of each identifier."""
+    """conv_id, call_id, call_turn, name: the first call of each identifier, to link results with."""
     lists = msgs.selectExpr("conv_id", "turn", "try_variant_get(j, '$.tool_calls', 'array<variant>') as calls").filter("calls is not null")
-    calls = lists.selectExpr("conv_id", "turn", "posexplode(calls) as (at, c)").selectExpr(
-        "conv_id", "turn", "at", "try_variant_get(c, '$.id', 'string') as call_id", "try_variant_get(c, '$.name', 'string') as name", "to_json(try_variant_get(c, '$.arguments', 'variant')) as raw"
-    )
-    return calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "at", "name", "raw")).alias("f"), F.count(F.lit(1)).alias("times")).selectExpr("conv_id", "call_id", "f.turn as call_turn", "f.name as name", "f.raw as raw", "times")
+    calls = lists.selectExpr("conv_id", "turn", "posexplode(calls) as (at, c)").selectExpr("conv_id", "turn", "at", "try_variant_get(c, '$.id', 'string') as call_id", "try_variant_get(c, '$.name', 'string') as name")
+    return calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "at", "name")).alias("f")).selectExpr("conv_id", "call_id", "f.turn as call_turn", "f.name as name")
+
+
+def _errors(schemas: Mapping[str, Mapping]) -> str:
+    """SQL over ``j``: what is wrong with each of a message's calls, repeated identifiers and calls without one alike."""
+    parsed = "transform(try_variant_get(j, '$.tool_calls', 'array<variant>'), c -> named_struct('name', try_variant_get(c, '$.name', 'string'), 'args', try_variant_get(c, '$.arguments', 'variant')))"
+    return f"transform({parsed}, x -> {arguments_error(schemas, 'x.name', 'x.args')})"
 
 
 def format_chat(conversations: DataFrame, schemas: Mapping[str, Mapping] = QUERY_SCHEMAS) -> DataFrame:
     """conv_id, turn, position, role, n_calls, n_invalid, status, json: one row per input row."""
     msgs = messages(conversations)
     calls = tool_calls(msgs)
-    checked = calls.withColumn("args", F.expr("try_parse_json(raw)")).withColumn("error", F.expr(arguments_error(schemas)))
-    per_turn = checked.groupBy("conv_id", F.col("call_turn").alias("turn")).agg(F.count_if(F.col("error").isNotNull()).alias("n_invalid"))
     results = msgs.withColumn("result_of", F.expr("case when role = 'tool' then try_variant_get(j, '$.tool_call_id', 'string') end"))
     link = calls.selectExpr("conv_id as c_conv", "call_id as c_id", "call_turn", "name as c_name")
     linked = results.join(link, F.col("conv_id").eqNullSafe(F.col("c_conv")) & (F.col("result_of") == F.col("c_id")), "left")
-    turns = per_turn.selectExpr("conv_id as t_conv", "turn as t_turn", "n_invalid")
-    full = linked.join(turns, F.col("conv_id").eqNullSafe(F.col("t_conv")) & F.col("turn").eqNullSafe(F.col("t_turn")), "left")
     n_calls = "coalesce(size(try_variant_get(j, '$.tool_calls', 'array<variant>')), 0)"
-    full = full.selectExpr(
+    full = linked.selectExpr(
         "conv_id",
         "turn",
         "role",
@@ -127,7 +127,7 @@ def format_chat(conversations: DataFrame, schemas: Mapping[str, Mapping] = QUERY
         "case when c_id is null then turn else greatest(turn, call_turn) end as at",
         "case when role = 'tool' then 2 else 1 end as kind",
         f"cast(greatest(0, {n_calls}) as int) as n_calls",
-        f"cast(case when {n_calls} > 0 then coalesce(n_invalid, 0) else 0 end as int) as n_invalid",
+        f"cast(case when {n_calls} > 0 then size(filter({_errors(schemas)}, e -> e is not null)) else 0 end as int) as n_invalid",
         f"case when role = 'tool' and c_id is not null then 'result' when role = 'tool' then 'orphan result' when {n_calls} > 0 then 'calls' else 'text' end as status",
         _json_object({"content": f"case when j is not null then to_json(j) else {_json_string('text')} end", "name": "c_name", "role": "role", "turn": "turn"}) + " as json",
     ).withColumn("tie", F.expr("xxhash64(json)"))

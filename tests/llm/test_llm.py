@@ -1,3 +1,4 @@
+import json
 import random
 import re
 import zlib
@@ -127,6 +128,22 @@ def test_chat(spark):
     assert got[4].json == '{"content":{"content":{"b":[1,{"x":1,"y":2}],"z":1},"tool_call_id":"a"},"name":"search","role":"tool","turn":0}'
 
 
+def chat_call(call_id, query, name="search"):
+    return {"name": name, "arguments": {"query": query}} | ({} if call_id is None else {"id": call_id})
+
+
+def chat_rows(spark, rows):
+    return spark.createDataFrame([(c, t, role, x if isinstance(x, str) else json.dumps(x)) for c, t, role, x in rows], "conv_id long, turn int, role string, text string")
+
+
+def test_chat_checks_every_call(spark):
+    rows = [(1, t, "assistant", {"tool_calls": [chat_call("call_1", t if t % 2 else "q"), chat_call(None, 5), chat_call(None, "q")]}) for t in range(6)]
+    # two messages of one turn, and one sent twice, count their own calls
+    rows += [(2, 0, "assistant", {"tool_calls": [chat_call("a", 1), chat_call("a", 2)]}), (2, 0, "critic", {"tool_calls": [chat_call("a", "q")]}), *[(2, 1, "assistant", {"tool_calls": [chat_call("a", 3), None]})] * 2]
+    got = chat.format_chat(chat_rows(spark, rows)).orderBy("conv_id", "turn", "role").collect()
+    assert [(r.n_calls, r.n_invalid) for r in got] == [(3, 1 + t % 2) for t in range(6)] + [(2, 2), (1, 0), (2, 2), (2, 2)]
+
+
 def brute_components(rows):
     sets = []
     for _, t in rows:
