@@ -16,9 +16,14 @@ are given consecutive positions.
 
 Defined results: null conv_id, turn, role or text are kept, as JSON nulls; null
 turns sort first; ties of one turn are ordered by kind, then by content.
-Invalid JSON is plain text. A call without a result, a result without a call, a
-tool without a schema and a repeated identifier (its first call counts) are
-reported in ``status``. An empty table gives no rows; other columns are dropped.
+Invalid JSON is plain text. A result without a call is reported in ``status``;
+a message's calls without a result, of a tool without a schema and of a repeated
+identifier are counted in ``n_unanswered``, ``n_no_schema`` and ``n_repeated``.
+A call is answered if any result of its conversation has its identifier, so one
+without an identifier never is. All calls of an identifier that a conversation
+has more than once count as repeated (copies of a message repeat its calls);
+results link to the first. An empty table gives no rows; other columns are
+dropped.
 """
 
 from __future__ import annotations
@@ -104,21 +109,45 @@ def tool_calls(msgs: DataFrame) -> DataFrame:
     return calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "at", "name")).alias("f")).selectExpr("conv_id", "call_id", "f.turn as call_turn", "f.name as name")
 
 
+def _call_states(msgs: DataFrame) -> DataFrame:
+    """s_conv, s_turn, s_message, n_unanswered, n_repeated for each message with calls: joined by a digest, so no text moves."""
+    calls = msgs.filter("message is not null").selectExpr("conv_id", "turn", "message", "copies", "explode(try_variant_get(j, '$.tool_calls', 'array<variant>')) as c")
+    calls = calls.selectExpr("conv_id", "turn", "message", "copies", "try_variant_get(c, '$.id', 'string') as call_id")
+    known = calls.filter("call_id is not null").selectExpr("conv_id", "call_id", "copies as times", "0 as answers")
+    answers = msgs.filter("role = 'tool'").selectExpr("conv_id", "try_variant_get(j, '$.tool_call_id', 'string') as call_id", "0L as times", "1 as answers").filter("call_id is not null")
+    ids = known.unionByName(answers).groupBy("conv_id", "call_id").agg(F.sum("times").alias("times"), F.max("answers").alias("answers")).filter("times > 0")
+    ids = ids.selectExpr("conv_id as i_conv", "call_id as i_id", "times", "answers")
+    # calls without an identifier are never answered, and don't meet in one task
+    named = calls.filter("call_id is not null").join(ids, F.col("conv_id").eqNullSafe(F.col("i_conv")) & (F.col("call_id") == F.col("i_id")))
+    named = named.selectExpr("conv_id", "turn", "message", "1 - answers as unanswered", "cast(times > 1 as int) as repeated")
+    nameless = calls.filter("call_id is null").selectExpr("conv_id", "turn", "message", "1 as unanswered", "0 as repeated")
+    states = named.unionByName(nameless).groupBy("conv_id", "turn", "message").agg(F.sum("unanswered").alias("n_unanswered"), F.sum("repeated").alias("n_repeated"))
+    return states.selectExpr("conv_id as s_conv", "turn as s_turn", "message as s_message", "n_unanswered", "n_repeated")
+
+
 def _errors(schemas: Mapping[str, Mapping]) -> str:
     """SQL over ``j``: what is wrong with each of a message's calls, repeated identifiers and calls without one alike."""
     parsed = "transform(try_variant_get(j, '$.tool_calls', 'array<variant>'), c -> named_struct('name', try_variant_get(c, '$.name', 'string'), 'args', try_variant_get(c, '$.arguments', 'variant')))"
     return f"transform({parsed}, x -> {arguments_error(schemas, 'x.name', 'x.args')})"
 
 
+def _no_schema(schemas: Mapping[str, Mapping]) -> str:
+    """SQL over a call ``c``: whether its tool, or a call that names none, has no schema."""
+    name = "try_variant_get(c, '$.name', 'string')"
+    return f"coalesce({name} not in ({', '.join(map(_quoted, sorted(schemas)))}), true)" if schemas else "true"
+
+
 def format_chat(conversations: DataFrame, schemas: Mapping[str, Mapping] = QUERY_SCHEMAS) -> DataFrame:
-    """conv_id, turn, position, role, n_calls, n_invalid, status, json: one row per input row."""
-    msgs = messages(conversations)
+    """conv_id, turn, position, role, n_calls, n_invalid, n_unanswered, n_no_schema, n_repeated, status, json: one row per input row."""
+    n_calls = "coalesce(size(try_variant_get(j, '$.tool_calls', 'array<variant>')), 0)"
+    # a digest names the messages that have calls
+    msgs = messages(conversations).withColumn("message", F.expr(f"case when {n_calls} > 0 then sha2(concat(coalesce(concat('r', role), ''), '|', text), 256) end"))
     calls = tool_calls(msgs)
     results = msgs.withColumn("result_of", F.expr("case when role = 'tool' then try_variant_get(j, '$.tool_call_id', 'string') end"))
     link = calls.selectExpr("conv_id as c_conv", "call_id as c_id", "call_turn", "name as c_name")
     linked = results.join(link, F.col("conv_id").eqNullSafe(F.col("c_conv")) & (F.col("result_of") == F.col("c_id")), "left")
-    n_calls = "coalesce(size(try_variant_get(j, '$.tool_calls', 'array<variant>')), 0)"
-    full = linked.selectExpr(
+    states = F.col("conv_id").eqNullSafe(F.col("s_conv")) & F.col("turn").eqNullSafe(F.col("s_turn")) & (F.col("message") == F.col("s_message"))
+    full = linked.join(_call_states(msgs), states, "left").selectExpr(
         "conv_id",
         "turn",
         "role",
@@ -128,6 +157,9 @@ def format_chat(conversations: DataFrame, schemas: Mapping[str, Mapping] = QUERY
         "case when role = 'tool' then 2 else 1 end as kind",
         f"cast(greatest(0, {n_calls}) as int) as n_calls",
         f"cast(case when {n_calls} > 0 then size(filter({_errors(schemas)}, e -> e is not null)) else 0 end as int) as n_invalid",
+        "cast(coalesce(n_unanswered, 0) as int) as n_unanswered",
+        f"cast(case when {n_calls} > 0 then size(filter(try_variant_get(j, '$.tool_calls', 'array<variant>'), c -> {_no_schema(schemas)})) else 0 end as int) as n_no_schema",
+        "cast(coalesce(n_repeated, 0) as int) as n_repeated",
         f"case when role = 'tool' and c_id is not null then 'result' when role = 'tool' then 'orphan result' when {n_calls} > 0 then 'calls' else 'text' end as status",
         _json_object({"content": f"case when j is not null then to_json(j) else {_json_string('text')} end", "name": "c_name", "role": "role", "turn": "turn"}) + " as json",
     ).withColumn("tie", F.expr("xxhash64(json)"))
@@ -140,7 +172,7 @@ def format_chat(conversations: DataFrame, schemas: Mapping[str, Mapping] = QUERY
     same = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in cell]
     order = W.partitionBy(*cell).orderBy("tie", "json", F.col("turn").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     placed = full.withColumn("before", F.coalesce(F.sum("copies").over(order), F.lit(0))).join(offsets, same[0] & same[1] & same[2] & same[3])
-    out = placed.selectExpr("conv_id", "turn", "explode(sequence(before + offset, before + offset + copies - 1)) as position", "role", "n_calls", "n_invalid", "status", "json")
+    out = placed.selectExpr("conv_id", "turn", "explode(sequence(before + offset, before + offset + copies - 1)) as position", "role", "n_calls", "n_invalid", "n_unanswered", "n_no_schema", "n_repeated", "status", "json")
     return out
 
 

@@ -144,6 +144,17 @@ def test_chat_checks_every_call(spark):
     assert [(r.n_calls, r.n_invalid) for r in got] == [(3, 1 + t % 2) for t in range(6)] + [(2, 2), (1, 0), (2, 2), (2, 2)]
 
 
+def test_chat_reports_calls(spark):
+    rows = [
+        (1, 0, "assistant", {"tool_calls": [chat_call("a", "q"), chat_call("b", "q", "nowhere"), chat_call(None, "q")]}), (1, 1, "tool", {"tool_call_id": "a"}),
+        (1, 2, "assistant", {"tool_calls": [chat_call("b", "q"), chat_call("c", "q")]}), (1, 2, "critic", {"tool_calls": [{"id": "d"}]}), (1, 3, "tool", {"tool_call_id": "d"}),
+        *[(None, None, None, {"tool_calls": [chat_call("a", "q")]})] * 2, (2, 0, "user", "hi"),
+    ]
+    got = chat.format_chat(chat_rows(spark, rows)).orderBy("conv_id", "turn", "role").collect()
+    want = [(1, 0, 1)] * 2 + [(2, 1, 1), (0, 0, 0), (2, 0, 1), (0, 1, 0), (0, 0, 0), (0, 0, 0)]
+    assert [(r.n_unanswered, r.n_no_schema, r.n_repeated) for r in got] == want
+
+
 def brute_components(rows):
     sets = []
     for _, t in rows:
