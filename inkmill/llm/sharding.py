@@ -11,7 +11,9 @@ the bits that follow, over their own keys only.
 Rows of one key can't be parted by hashing. Where one key's rows exceed the
 limit they are numbered by running bytes (counted within input partitions, then
 offset by the partitions' sums, so that no task gathers the key) and cut into
-runs that fit. A single row above the limit is a shard of its own.
+runs that fit. There a row above half the limit is a shard of its own, and is
+set aside before the others are cut, so that runs are at least half the limit
+wide. A single row above the limit is a shard of its own.
 
 Only the key and the byte count of each document move; the largest table that
 is shuffled has one row per key. Nothing is broadcast by hint.
@@ -107,14 +109,18 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text:
 
 
 def _runs(rows: DataFrame, limit: int) -> DataFrame:
-    """Cut the rows of keys above the limit into runs by running bytes."""
+    """Cut the rows of keys above the limit into runs by running bytes; rows above half of it come first, one by one."""
+    rows = rows.withColumn("lone", F.expr(f"cast(2 * n_bytes > {limit} as long)")).withColumn("rest", F.expr("case when lone = 1 then 0L else n_bytes end"))
     local = cut_lineage(rows.withColumn("part", F.spark_partition_id()))
     order = W.partitionBy("h", "part").orderBy("n_bytes", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    within = local.withColumn("before", F.coalesce(F.sum("n_bytes").over(order), F.lit(0)))
-    parts = local.groupBy("h", "part").agg(F.sum("n_bytes").alias("s"), F.max("n_bytes").alias("m"))
+    within = local.withColumn("before", F.coalesce(F.sum("rest").over(order), F.lit(0))).withColumn("ahead", F.coalesce(F.sum("lone").over(order), F.lit(0)))
+    parts = local.groupBy("h", "part").agg(F.sum("rest").alias("s"), F.max("rest").alias("m"), F.sum("lone").alias("l"))
     earlier = W.partitionBy("h").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select("h", "part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("offset"), F.max("m").over(W.partitionBy("h")).alias("longest"))
-    run = F.expr(f"cast((before + offset) div greatest(1, {limit} - longest + 1) as long)")
+    of_key = W.partitionBy("h")
+    parts = parts.select(
+        "h", "part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("offset"), F.coalesce(F.sum("l").over(earlier), F.lit(0)).alias("lone_offset"), F.max("m").over(of_key).alias("longest"), F.sum("l").over(of_key).alias("lones")
+    )
+    run = F.expr(f"case when lone = 1 then ahead + lone_offset else lones + cast((before + offset) div greatest(1, {limit} - longest + 1) as long) end")
     cut = within.join(parts, ["h", "part"]).withColumn("run", run)
     sizes = cut.groupBy("h", "run").agg(F.sum("n_bytes").alias("shard_bytes"))
     return cut.join(sizes, ["h", "run"]).selectExpr("doc_id", "n_bytes", "depth", "concat(bits, '.', run) as shard", "shard_bytes")

@@ -75,6 +75,18 @@ def test_sharding(spark):
     assert not any(a != b and b.startswith(a) for a in names for b in names)
 
 
+def test_sharding_one_large_row_of_a_hot_key(spark):
+    sizes = [10] * 300 + [200, 199, 101, 100, 500, 0]
+    got = sharding.shard(edge(spark, [(None, "x" * n) for n in sizes]).repartition(3), 200).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r.shard, []).append(r.n_bytes)
+    assert sorted(r.n_bytes for r in got) == sorted(sizes) and all(r.shard_bytes == sum(shards[r.shard]) for r in got)
+    assert all(sum(x) <= 200 or len(x) == 1 for x in shards.values())
+    assert {n for x in shards.values() if len(x) == 1 for n in x} >= {200, 199, 101, 500}
+    assert len(shards) <= 4 + 3100 // 100 + 1
+
+
 def test_packing(spark):
     lengths, demand = np.array([3, 5, 7]), np.array([30.0, 40.0, 20.0])
     columns, x = packing.column_generation(lengths, demand, 16)
