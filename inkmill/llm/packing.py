@@ -23,7 +23,8 @@ any length are cut, never truncated. Other columns of the input are dropped.
 
 from __future__ import annotations
 
-import gc
+import json
+import os
 import re
 import unicodedata
 import zlib
@@ -36,40 +37,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import cut_lineage, load
+from inkmill.llm.common import cut_lineage, load, trimmed
+from inkmill.llm.shingles import mix, powers
 
 SEQUENCE = 2048
 UNIT = 64
 END_ID = 1
 #: Ranks are counted within about this many pieces of one length at a time.
 BUCKET_PIECES = 100_000
-CACHE_WORDS = 600_000
-CACHE_RUNS = 1_200_000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 # --- tokenising -------------------------------------------------------------
 
-
-def _class(prefix: str) -> str:
-    """A regex class of the characters up to U+017F of one general category."""
-    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c)).startswith(prefix))
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+#: Characters below this are tokenised in numpy; none of them has a decomposition left after NFC.
+_PLAIN = 0x180
+_MISSING = np.int32(np.iinfo(np.int32).max)
+
+
+def _kind(c: str) -> int:
+    category = unicodedata.category(c)
+    return _SPACE if c.isspace() else _LETTER if category[0] == "L" else _DIGIT if category[0] == "N" else _OTHER
+
+
+class PairTable:
+    """Merge ranks of pairs of ids: each pair lies in one of two places, so a lookup is two gathers."""
+
+    def __init__(self, pairs: np.ndarray, size: int) -> None:
+        self.size = np.uint32(size)
+        keys = pairs[:, 0].astype(np.uint32) * self.size + pairs[:, 1].astype(np.uint32)
+        bits = max(4, int(len(keys)).bit_length() + 1)
+        while not self._fill(keys, bits):
+            bits += 1
+
+    def _fill(self, keys: np.ndarray, bits: int) -> bool:
+        """Cuckoo hashing, all homeless keys a step; False if it doesn't settle."""
+        self.shift = np.uint32(32 - bits)
+        places = [self._place(keys, k) for k in (0, 1)]
+        owner = [np.full(1 << bits, -1), np.full(1 << bits, -1)]
+        homeless, side = np.arange(len(keys)), np.zeros(len(keys), np.int64)
+        for _ in range(200):
+            if not len(homeless):
+                break
+            out = []
+            for k in (0, 1):
+                mine = homeless[side[homeless] == k]
+                at = places[k][mine]
+                before = owner[k][at]
+                owner[k][at] = mine  # of several the last one stays
+                lost = np.concatenate([mine[owner[k][at] != mine], before[before >= 0]])
+                out.append(np.unique(lost))
+            homeless = np.unique(np.concatenate(out))
+            homeless = homeless[(owner[0][places[0][homeless]] != homeless) & (owner[1][places[1][homeless]] != homeless)]
+            side[homeless] ^= 1
+        self.entries = []
+        for k in (0, 1):
+            # a key that no pair of ids has stands for an empty place
+            e = np.full(1 << bits, np.uint64(0xFFFFFFFF) << np.uint64(32) | np.uint64(_MISSING))
+            full = np.flatnonzero(owner[k] >= 0)
+            e[full] = keys[owner[k][full]].astype(np.uint64) << np.uint64(32) | owner[k][full].astype(np.uint64)
+            self.entries.append(e)
+        return not len(homeless)
+
+    def _place(self, keys: np.ndarray, k: int) -> np.ndarray:
+        return (keys * np.uint32((2654435761, 2246822519)[k])) >> self.shift
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks; ``_MISSING`` where the pair doesn't merge or an id is negative."""
+        key = left.astype(np.uint32) * self.size + right.astype(np.uint32)
+        one, two = (self.entries[k].take(self._place(key, k)) for k in (0, 1))
+        wide = key.astype(np.uint64)
+        found = np.where(one >> np.uint64(32) == wide, one, two)
+        hit = (found >> np.uint64(32) == wide) & (left >= 0) & (right >= 0)
+        return np.where(hit, found.astype(np.uint32).view(np.int32), _MISSING)
 
 
 class WordTokenizer:
-    """Ids of a word-level BPE tokenizer, with bounded caches.
+    """Ids of a word-level BPE tokenizer, a block of texts at a time.
 
     The pre-tokenizer's words never hold white space and merges never cross
-    words, so the ids of a run between white space don't depend on what stands
-    around it: runs are looked up first, then the words of those not yet seen,
-    and only new words reach the BPE model. Texts outside the plain character
-    range, or with something that could be a special token, go to the tokenizer
-    as they are.
+    words. A block's words are found by the classes of its characters and
+    hashed by prefix sums; its distinct words are merged together, each by its
+    lowest-ranked pair (the leftmost of equals) per step, as the model merges
+    them one by one. Ids of up to ``KNOWN_WORDS`` words (some 10 MB) are kept for
+    the next blocks, by 64-bit hash, as long as the tokenizer lives: one task.
+    Texts with characters from ``_PLAIN`` on, or with something
+    that could be a special token, go to the library's tokenizer as they are, and
+    so do words of more than ``LONG_WORD`` bytes.
     """
 
-    _letters, _digits = _class("L"), _class("N")
-    _words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_digits}]|[^\s{_letters}{_digits}]+")
+    BLOCK_CHARS = 1 << 20
+    LONG_WORD = 64
+    KNOWN_WORDS = 300_000
+
     #: other scripts, separators on which engines differ, I with dot, special tokens
     _odd = re.compile("[^\x00-ſ]|[\x00-\x08\x0e-\x1f\x7f-\xa0\xadİŉ]|<\\|")
     _plain_bytes = bytes(c for c in range(256) if not re.match("[\x00-\x08\x0e-\x1f\x7f-\xa0\xad]", chr(c)))
@@ -78,18 +140,22 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.inner = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.inner.model)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = {b: split.pre_tokenize_str(chr(b))[0][0] for b in range(1, 128)}
-        for b in range(128, 256):  # the second byte of U+0080 to U+00BF, and the first bytes, in turn
-            c = bytes([0xC2, b]) if b < 0xC0 else bytes([b, 0x80])
-            if b < 0xC2 and b >= 0xC0 or b > 0xDF:
-                continue  # no character of the plain range has this byte
-            shown = split.pre_tokenize_str(c.decode())[0][0]
-            letters[b] = shown[1] if b < 0xC0 else shown[0]
-        self.letters = letters
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.inside, self.last = np.full(256, -1, np.int32), np.full(256, -1, np.int32)
+        for c in range(1, _PLAIN):
+            shown = split.pre_tokenize_str(chr(c))[0][0]
+            for b, letter in zip(chr(c).encode(), shown):
+                self.inside[b], self.last[b] = vocab[letter], vocab[letter + suffix]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.pairs = PairTable(np.array([(vocab[a], vocab[b]) for a, b in merges]), len(vocab))
+        self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
+        self.kind = np.array([_kind(chr(c)) for c in range(_PLAIN)], np.uint8)
+        self.lower = np.array([ord(chr(c).lower()[0]) for c in range(_PLAIN)], np.uint16)
+        self._forget()
+        self.mark = np.random.default_rng(71).integers(0, 1 << 63, _PLAIN, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def _plain(self, text: str) -> bool:
         if "<|" in text:
@@ -100,53 +166,167 @@ class WordTokenizer:
             rest = b"?" if self._odd.search(text) else b""
         return not rest and unicodedata.is_normalized("NFC", text)
 
-    def _learn(self, runs: list[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        words = self.words
-        lone = [r for r in runs if r.isalpha()]  # one word each
-        mixed = [r for r in runs if not r.isalpha()]
-        lower = [r.lower() for r in lone]
-        split = [self._words.findall(r.lower()) for r in mixed]
-        new = list(set(lower).union(*split).difference(words))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            # words of plain texts hold no NUL
-            shown = "\0".join(part).encode().decode("latin-1").translate(self.letters).split("\0")
-            e = self.model.encode(shown, is_pretokenized=True, add_special_tokens=False)
-            raw = np.asarray(e.ids, "<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(part)))).tolist()
-            words.update(zip(part, [raw[lo:hi] for lo, hi in zip([0, *ends], ends)]))
-        get = words.__getitem__
-        self.runs.update(zip(lone, map(get, lower)))
-        self.runs.update(zip(mixed, [b"".join(map(get, ws)) for ws in split]))
+    def _words(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words of lower-cased characters that begin and end with white space."""
+        kind = self.kind[chars]
+        start = np.zeros(len(chars), bool)
+        start[1:] = (kind[1:] != _SPACE) & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+        # 's 't 'm 'd 're 've 'll are words, if their mark follows no other mark
+        at = np.flatnonzero(chars == ord("'"))
+        at = at[(kind[at - 1] != _OTHER) & (kind[at + 1] == _LETTER)]
+        one, two = chars[at + 1], chars[np.minimum(at + 2, len(chars) - 1)]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = np.isin(one, [ord("r"), ord("v")]) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        at, n = at[short | long], np.where(short, 1, 2)[short | long]
+        start[at + 1] = False
+        start[at + 1 + n] |= kind[at + 1 + n] == _LETTER
+        edge = start.copy()
+        edge[1:] |= (kind[1:] == _SPACE) & (kind[:-1] != _SPACE)
+        edges = np.flatnonzero(edge)
+        first = np.flatnonzero(start[edges])
+        return edges[first], edges[first + 1]
+
+    def _symbols(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first ids of some words, one a UTF-8 byte, and how many each word has."""
+        c = chars[_ragged(starts, sizes)].astype(np.int32)
+        wide = c >= 0x80
+        many = np.add.reduceat(wide, np.cumsum(sizes) - sizes) + sizes
+        where = np.cumsum(wide) + np.arange(len(c))  # of each character's last byte
+        raw = np.empty(len(c) + int(wide.sum()), np.uint8)
+        raw[where] = np.where(wide, 0x80 | c & 0x3F, c)
+        raw[where[wide] - 1] = 0xC0 | c[wide] >> 6
+        ids = self.inside[raw]
+        ends = np.cumsum(many) - 1
+        ids[ends] = self.last[raw[ends]]
+        return ids, many
+
+    def _merge(self, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their ids) as words are done; rows of ``table`` end with -1 where they are short."""
+        rows = np.arange(len(table))
+        ranks = self.pairs(table[:, :-1], table[:, 1:])
+        while len(rows):
+            best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+            rank = ranks[np.arange(len(rows)), best] if ranks.shape[1] else np.full(len(rows), _MISSING)
+            live = rank != _MISSING
+            if not live.all():
+                yield rows[~live], table[~live]
+                rows, table, ranks, best, rank = rows[live], table[live], ranks[live], best[live], rank[live]
+                if not len(rows):
+                    return
+            k, width = np.arange(len(rows)), table.shape[1]
+            table = np.where(np.arange(width - 1) <= best[:, None], table[:, :-1], table[:, 1:])
+            table[k, best] = self.merged[rank]
+            ranks = np.where(np.arange(width - 2) < best[:, None], ranks[:, :-1], ranks[:, 1:])
+            i = np.flatnonzero(best > 0)
+            ranks[i, best[i] - 1] = self.pairs(table[i, best[i] - 1], table[i, best[i]])
+            i = np.flatnonzero(best < width - 2)
+            ranks[i, best[i]] = self.pairs(table[i, best[i]], table[i, best[i] + 1])
+
+    def _ids(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some words one after the other, and where each word's begin."""
+        symbols, many = self._symbols(chars, starts, sizes)
+        at = np.cumsum(many) - many
+        found, counts, low = [], np.zeros(len(starts), np.int64), 0
+        for high in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, self.LONG_WORD):
+            words = np.flatnonzero((many > low) & (many <= high))
+            low = high
+            for lo in range(0, len(words), 1 << 15):
+                part = words[lo : lo + (1 << 15)]
+                column = np.arange(high)
+                inside = column < many[part, None]
+                table = np.where(inside, symbols[np.minimum(at[part, None] + column, len(symbols) - 1)], np.int32(-1))
+                for rows, ids in self._merge(table):
+                    found.append((part[rows], ids))
+                    counts[part[rows]] = (ids >= 0).sum(axis=1)
+        for w in np.flatnonzero(many > self.LONG_WORD):
+            word = chars[starts[w] : starts[w] + sizes[w]].astype("<u2").tobytes().decode("utf-16-le")
+            ids = np.array([self.inner.encode(word, add_special_tokens=False).ids], np.int32)
+            found.append((np.array([w]), ids))
+            counts[w] = ids.shape[1]
+        first = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), "<u4")
+        for words, ids in found:
+            out[_ragged(first[words], counts[words])] = ids[ids >= 0]
+        return out, np.append(first, len(out))
+
+    def _forget(self) -> None:
+        self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.first, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _look_up(self, words: np.ndarray) -> np.ndarray:
+        """Where the ids of each word stand, -1 for new words."""
+        if not len(self.known):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        return np.where(self.known[at] == words, self.slots[at], -1)
+
+    def _learn(self, words: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        place = np.searchsorted(self.known, words)
+        self.slots = np.insert(self.slots, place, len(self.known) + np.arange(len(words)))
+        self.known = np.insert(self.known, place, words)
+        self.first = np.append(self.first, len(self.ids) + at[:-1])
+        self.counts = np.append(self.counts, np.diff(at))
+        self.ids = np.append(self.ids, ids)
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        data = np.frombuffer(f"\n{'\n'.join(texts)}\n".encode("utf-16-le"), "<u2")
+        chars = self.lower[data]
+        starts, ends = self._words(chars)
+        if not len(starts):
+            return [b""] * len(texts)
+        sizes = ends - starts
+        up, down = powers(len(chars) + 1)
+        sums = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(self.mark[chars] * up[: len(chars)], out=sums[1:])
+        found, first, word = np.unique(mix((sums[ends] - sums[starts]) * down[starts] + sizes.astype(np.uint64)), return_index=True, return_inverse=True)
+        del sums, up, down
+        slot = self._look_up(found)
+        new = np.flatnonzero(slot < 0)
+        if len(self.known) + len(new) > self.KNOWN_WORDS and len(self.known):
+            self._forget()
+            slot, new = np.full(len(found), -1), np.arange(len(found))
+        if len(new):
+            slot[new] = len(self.known) + np.arange(len(new))
+            self._learn(found[new], *self._ids(chars, starts[first[new]], sizes[first[new]]))
+        counts = self.counts[slot][word]
+        all_ids = self.ids[_ragged(self.first[slot][word], counts)]
+        bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        cuts_at = np.append(0, np.cumsum(counts))[np.searchsorted(starts, bounds)].tolist()
+        return [all_ids[lo:hi].tobytes() for lo, hi in zip(cuts_at, cuts_at[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
-        collects = gc.isenabled()
-        gc.disable()  # many short-lived strings and lists, and no cycles
-        try:
-            split = [t.split() if self._plain(t) else None for t in texts]
-            if len(self.runs) > CACHE_RUNS:
-                self.runs.clear()
-            self._learn(list(set().union(*(s for s in split if s)).difference(self.runs)))
-            get = self.runs.__getitem__
-            return [b"".join(map(get, s)) if s is not None else np.asarray(self.inner.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, s in zip(texts, split)]
-        finally:
-            if collects:
-                gc.enable()
-
-
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+        out: list[bytes] = [b""] * len(texts)
+        block: list[int] = []
+        size = 0
+
+        def close() -> None:
+            for k, ids in zip(block, self._block([texts[k] for k in block])):
+                out[k] = ids
+            block.clear()
+
+        for k, t in enumerate(texts):
+            if not self._plain(t):
+                out[k] = np.asarray(self.inner.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            if block and size + len(t) > self.BLOCK_CHARS:
+                close()
+                size = 0
+            block.append(k)
+            size += len(t) + 1
+        if block:
+            close()
+        return out
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, .. of each range, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    return WordTokenizer(path)
 
 
 def cuts(n: int, size: int = SEQUENCE, unit: int = UNIT) -> list[tuple[int, int]]:
@@ -168,8 +348,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, unit: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = _tokenizer(tokenizer_path)
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.iloc[lo : lo + 512]
+            for lo in range(0, len(batch), 1024):
+                part = batch.iloc[lo : lo + 1024]
                 src, rows = [], []
                 for k, ids in enumerate(tok.encode([x if isinstance(x, str) else "" for x in part["text"]])):
                     ids += end
@@ -181,7 +361,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, unit: int
                 out.insert(0, "doc_id", part["doc_id"].take(src).array)
                 yield out
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInPandas(run, PIECE_SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInPandas(trimmed(run), PIECE_SCHEMA)
 
 
 # --- the linear program -----------------------------------------------------

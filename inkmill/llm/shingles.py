@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 WIDTH = 5
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -37,14 +37,9 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-class _Powers:
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            cls.up, cls.down = _powers(_BASE, n), _powers(_INVERSE, n)
-        return cls.up, cls.down
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers up to n and their inverses, made anew: they are as large as a block."""
+    return _powers(_BASE, n), _powers(_INVERSE, n)
 
 
 def _block(texts: Sequence[bytes]) -> list[np.ndarray]:
@@ -55,7 +50,7 @@ def _block(texts: Sequence[bytes]) -> list[np.ndarray]:
     starts, ends = edges[0::2], edges[1::2]
     if not len(starts):
         return [np.zeros(0, np.uint64)] * len(texts)
-    up, down = _Powers.of(len(data) + 1)
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
