@@ -8,18 +8,20 @@ for all shorter prefixes and keeps, for every cell, its shortest prefix within
 the limit. Cells that are still too large go through the same step again with
 the bits that follow, over their own keys only.
 
-Rows of one key can't be parted by hashing. Where one key's rows exceed the
-limit they are numbered by running bytes (counted within input partitions, then
-offset by the partitions' sums, so that no task gathers the key) and cut into
-runs that fit. There a row above half the limit is a shard of its own, and is
-set aside before the others are cut, so that runs are at least half the limit
-wide. A single row above the limit is a shard of its own.
+Rows that are alike, of one key and one size, are one group with a count from
+the first step on; the count is undone last, by chunks. So a key with a third of
+all rows has as many groups as it has sizes, and no task gathers its rows.
 
-Only the key and the byte count of each document move; the largest table that
-is shuffled has one row per key. Nothing is broadcast by hint.
+Rows of one key can't be parted by hashing. Where they exceed the limit, a row
+above half of it is a shard of its own; the others, by size, are cut into runs
+by running bytes, group by group in arithmetic, so that a run is at least half
+the limit wide. A single row above the limit is a shard of its own.
+
+Only the key and the byte count of each document move. Nothing is broadcast by
+hint.
 
 Defined results: a null text has 0 bytes; null keys hash as one key, the empty
-string. Repeated rows are kept, each with its own shard. An empty table gives
+string. Repeated rows are kept, each with its own place. An empty table gives
 no rows. Other columns of the input are dropped.
 """
 
@@ -35,6 +37,10 @@ from inkmill.llm.common import cut_lineage, load
 
 HASH_BITS = 60
 SHARD_BYTES = 64 * 1024 * 1024
+#: The limit of the registered query: the tables at hand are small, and it splits buckets at each of their sizes.
+QUERY_BYTES = 128 * 1024
+#: Copies of one row that one task writes out at most.
+CHUNK_ROWS = 100_000
 #: Bits by which a pass looks past the depth that an even split needs.
 SLACK_BITS = 3
 STEP_BITS = 8
@@ -88,56 +94,67 @@ def directory(keys: DataFrame, limit: int) -> DataFrame:
 def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, depth, shard (prefix bits, then ``.k`` for the k-th run of one key), shard_bytes."""
     rows = docs.selectExpr(f"`{key}` as doc_id", f"{_hash(f'`{key}`')} as h", f"cast(coalesce(octet_length(cast(`{text}` as string)), 0) as long) as n_bytes")
-    rows = cut_lineage(rows)
-    keys = cut_lineage(rows.groupBy("h").agg(F.sum("n_bytes").alias("bytes"), F.max("n_bytes").alias("longest"), F.count(F.lit(1)).alias("copies")))
-    found = cut_lineage(directory(keys.select("h", "bytes"), limit))
+    groups = cut_lineage(rows.groupBy("h", "doc_id", "n_bytes").agg(F.count(F.lit(1)).alias("copies")))
+    keys = cut_lineage(groups.groupBy("h").agg(F.sum(F.expr("n_bytes * copies")).alias("bytes")))
+    found = cut_lineage(directory(keys, limit))
     depths = [r[0] for r in found.select("depth").distinct().orderBy("depth").collect()]  # at most HASH_BITS + 1 numbers
-    placed = rows
-    if depths:
-        # a key joins the buckets of every depth that occurs; its own is the only match
-        probes = keys.select("h", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(_prefix("h", d)).alias("prefix")) for d in depths])).alias("p"))
-        of_key = probes.select("h", "p.depth", "p.prefix").join(found, ["depth", "prefix"])
-        placed = rows.join(of_key, "h")
-    else:
-        placed = rows.selectExpr("*", "0 as depth", "0L as prefix", "0L as bucket_bytes")
-    bits = f"lpad(bin(prefix), depth, '0')"
-    named = placed.selectExpr("doc_id", "n_bytes", "h", "depth", "prefix", "bucket_bytes", f"case when depth = 0 then '' else {bits} end as bits")
-    if not depths or depths[-1] < HASH_BITS:
-        return named.selectExpr("doc_id", "n_bytes", "depth", "bits as shard", "bucket_bytes as shard_bytes")
-    fits = named.filter(f"depth < {HASH_BITS} or bucket_bytes <= {limit}").selectExpr("doc_id", "n_bytes", "depth", "bits as shard", "bucket_bytes as shard_bytes")
-    return fits.unionByName(_runs(named.filter(f"depth = {HASH_BITS} and bucket_bytes > {limit}"), limit))
-
-
-def _runs(rows: DataFrame, limit: int) -> DataFrame:
-    """Cut the rows of keys above the limit into runs by running bytes; rows above half of it come first, one by one."""
-    rows = rows.withColumn("lone", F.expr(f"cast(2 * n_bytes > {limit} as long)")).withColumn("rest", F.expr("case when lone = 1 then 0L else n_bytes end"))
-    local = cut_lineage(rows.withColumn("part", F.spark_partition_id()))
-    order = W.partitionBy("h", "part").orderBy("n_bytes", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    within = local.withColumn("before", F.coalesce(F.sum("rest").over(order), F.lit(0))).withColumn("ahead", F.coalesce(F.sum("lone").over(order), F.lit(0)))
-    parts = local.groupBy("h", "part").agg(F.sum("rest").alias("s"), F.max("rest").alias("m"), F.sum("lone").alias("l"))
-    earlier = W.partitionBy("h").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    if not depths:
+        return groups.selectExpr("doc_id", "n_bytes", "0 as depth", "'' as shard", "n_bytes as shard_bytes").limit(0)
+    # a key joins the buckets of every depth that occurs; its own is the only match
+    probes = keys.select("h", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(_prefix("h", d)).alias("prefix")) for d in depths])).alias("p"))
+    of_key = probes.select("h", "p.depth", "p.prefix").join(found, ["depth", "prefix"])
+    placed = groups.join(of_key, "h").selectExpr("*", "case when depth = 0 then '' else lpad(bin(prefix), depth, '0') end as bits")
+    if depths[-1] < HASH_BITS:
+        return _copies(placed.selectExpr("doc_id", "n_bytes", "depth", "bits as shard", "bucket_bytes as shard_bytes", "copies"))
+    placed = cut_lineage(placed)
+    fits = placed.filter(f"depth < {HASH_BITS} or bucket_bytes <= {limit}").selectExpr("doc_id", "n_bytes", "depth", "bits as shard", "bucket_bytes as shard_bytes", "copies")
+    return _copies(fits.unionByName(_runs(placed.filter(f"depth = {HASH_BITS} and bucket_bytes > {limit}"), limit)))
+
+
+def _runs(groups: DataFrame, limit: int) -> DataFrame:
+    """Cut the rows of keys above the limit into runs; rows above half of it come first, one by one."""
+    sized = groups.withColumn("lone", F.expr(f"2 * n_bytes > {limit}"))
+    earlier = W.partitionBy("h").orderBy(F.desc("lone"), "n_bytes", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     of_key = W.partitionBy("h")
-    parts = parts.select(
-        "h", "part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("offset"), F.coalesce(F.sum("l").over(earlier), F.lit(0)).alias("lone_offset"), F.max("m").over(of_key).alias("longest"), F.sum("l").over(of_key).alias("lones")
+    sized = sized.select(
+        "*",
+        F.coalesce(F.sum(F.expr("case when lone then copies end")).over(earlier), F.lit(0)).alias("ahead"),
+        F.coalesce(F.sum(F.expr("case when not lone then n_bytes * copies end")).over(earlier), F.lit(0)).alias("before"),
+        F.coalesce(F.sum(F.expr("case when lone then copies end")).over(of_key), F.lit(0)).alias("lones"),
+        F.expr(f"{limit} + 1 - coalesce(max(case when not lone then n_bytes end) over (partition by h), 0)").alias("width"),
     )
-    run = F.expr(f"case when lone = 1 then ahead + lone_offset else lones + cast((before + offset) div greatest(1, {limit} - longest + 1) as long) end")
-    cut = within.join(parts, ["h", "part"]).withColumn("run", run)
-    sizes = cut.groupBy("h", "run").agg(F.sum("n_bytes").alias("shard_bytes"))
-    return cut.join(sizes, ["h", "run"]).selectExpr("doc_id", "n_bytes", "depth", "concat(bits, '.', run) as shard", "shard_bytes")
+    lone = sized.filter("lone").selectExpr("doc_id", "n_bytes", "h", "depth", "bits", "explode(sequence(ahead, ahead + copies - 1)) as run", "1L as copies")
+    # a run takes the rows that begin within its width: of equal rows, so many
+    spans = sized.filter("not lone").selectExpr("*", "explode(sequence(before div width, (before + (copies - 1) * n_bytes) div width)) as r")
+    last = "least(copies - 1, ((r + 1) * width - 1 - before) div n_bytes)"
+    first = "case when r * width <= before then 0 else (r * width - before + n_bytes - 1) div n_bytes end"
+    share = spans.selectExpr("doc_id", "n_bytes", "h", "depth", "bits", "lones + r as run", f"case when n_bytes = 0 then copies else {last} - {first} + 1 end as copies")
+    cut = lone.unionByName(share).filter("copies > 0")
+    total = F.sum(F.expr("n_bytes * copies")).over(W.partitionBy("h", "run"))
+    return cut.withColumn("shard_bytes", total).selectExpr("doc_id", "n_bytes", "depth", "concat(bits, '.', run) as shard", "shard_bytes", "copies")
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """One row per copy again; many copies of one row are written by several tasks."""
+    few = rows.filter(f"copies <= {CHUNK_ROWS}").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    chunks = rows.filter(f"copies > {CHUNK_ROWS}").withColumn("at", F.explode(F.expr(f"sequence(0L, (copies - 1) div {CHUNK_ROWS})")))
+    dealt = chunks.repartition(F.xxhash64("shard", "doc_id", "n_bytes", "at")).withColumn("k", F.explode(F.expr(f"sequence(1, cast(least({CHUNK_ROWS}, copies - at * {CHUNK_ROWS}) as int))"))).drop("at")
+    return few.unionByName(dealt).drop("copies", "k")
 
 
 def op2_sharding(spark, sf_dir):
-    return shard(load(spark, sf_dir, "documents"))
+    return shard(load(spark, sf_dir, "documents"), QUERY_BYTES)
 
 
-#: With one key per row; 24 bits are more than the tables at hand can need.
+#: With one key per row; a row above the limit is the only one of its bucket at full depth.
 OP2_SQL = f"""
 with r as (select doc_id, strlen(coalesce(text, ''))::bigint as n_bytes,
              ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint as h from documents),
 b as (select level, h >> ({HASH_BITS} - level) as prefix, sum(n_bytes)::bigint as s
-      from r, range(0, 25) t(level) group by all),
+      from r, range(0, {HASH_BITS + 1}) t(level) group by all),
 f as (select b.level, b.prefix, b.s from b left join b p on p.level = b.level - 1 and p.prefix = b.prefix >> 1
-      where b.s <= {SHARD_BYTES} and (p.s is null or p.s > {SHARD_BYTES}))
-select doc_id, n_bytes, f.level::int as depth, case when f.level = 0 then '' else lpad(bin(f.prefix), f.level::int, '0') end as shard, s as shard_bytes
+      where (b.s <= {QUERY_BYTES} or b.level = {HASH_BITS}) and (p.s is null or p.s > {QUERY_BYTES}))
+select doc_id, n_bytes, f.level::int as depth,
+  case when f.level = 0 then '' else lpad(bin(f.prefix), f.level::int, '0') end || case when s > {QUERY_BYTES} then '.0' else '' end as shard, s as shard_bytes
 from r join f on r.h >> ({HASH_BITS} - f.level) = f.prefix
 """
