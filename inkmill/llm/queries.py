@@ -24,6 +24,7 @@ def oracle_sql():
     return {
         "op2_sharding": sharding.OP2_SQL,
         "op4_quality_rules": quality.OP4_SQL,
+        "op5_chat_formatting": chat.OP5_SQL,
         "op6_ngram_jaccard_join": jaccard.OP6_SQL,
         "op10_url_filters": urls.OP10_SQL,
     }
