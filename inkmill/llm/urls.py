@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from inkmill.llm.common import load
 
-#: The broadcast rule set must stay below this many characters in all.
-MAX_RULE_CHARS = 64 * 1024 * 1024
+#: Rules that may take more nodes or characters than this aren't made a trie (about 0.5 kB a node in each worker).
+MAX_NODES = 200_000
+MAX_RULE_CHARS = 16 * 1024 * 1024
 
 Rule = tuple[str, str, str]  # host, path, "allow" | "block"
 
@@ -50,14 +51,15 @@ class _PathNode:
         self.lengths: list[int] = []
 
     def add(self, path: str, entry: tuple[str, str]) -> None:
-        segment, slash, rest = path.partition("/")
-        if slash:
-            self.children.setdefault(segment, _PathNode()).add(rest, entry)
-            return
+        node = self
+        *segments, last = path.split("/")
+        for segment in segments:
+            node = node.children.setdefault(segment, _PathNode())
         # of two equal rules a block stands, whatever the order of the list
-        if self.prefixes.get(path, ("", "allow"))[1] != "block":
-            self.prefixes[path] = entry
-        self.lengths = sorted({len(p) for p in self.prefixes}, reverse=True)
+        if node.prefixes.get(last, ("", "allow"))[1] != "block":
+            node.prefixes[last] = entry
+        if len(last) not in node.lengths:
+            node.lengths = sorted([*node.lengths, len(last)], reverse=True)
 
     def find(self, path: str) -> tuple[str, str] | None:
         best, node, rest = None, self, path
@@ -124,11 +126,12 @@ def judge_urls(
 ) -> DataFrame:
     """Host, path, deciding rule and verdict of each row of ``pages``.
 
-    The trie is broadcast; its size is checked against ``MAX_RULE_CHARS``.
+    The trie is broadcast if it is sure to have at most ``MAX_NODES`` nodes;
+    larger rule sets are a table, joined by host and its parent domains.
     """
     rules = list(rules)
-    if sum(len(h) + len(p) for h, p, _ in rules) > MAX_RULE_CHARS:
-        raise ValueError(f"the rules have over {MAX_RULE_CHARS} characters; split the rule set by top-level domain and judge one part at a time")
+    if sum(h.count(".") + p.count("/") + 2 for h, p, _ in rules) > MAX_NODES or sum(len(h) + len(p) for h, p, _ in rules) > MAX_RULE_CHARS:
+        return judge_by_join(pages, pages.sparkSession.createDataFrame(rules, "host string, path string, action string"), default, id_col, url_col)
     shared = pages.sparkSession.sparkContext.broadcast(rules)
 
     @F.pandas_udf("rule string, verdict string")
@@ -143,6 +146,25 @@ def judge_urls(
     return parts.withColumn("d", decide("host", "path")).select(id_col, "host", "path", F.col("d.rule").alias("rule"), F.col("d.verdict").alias("verdict"))
 
 
+def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``judge_urls`` for a table of rules (host, path, action) of any size.
+
+    Distinct (host, path) pairs meet the rules of their host and parent domains
+    by an equi-join; the longest host, then the longest path decides.
+    """
+    host, path = split_url_sql(f"`{url_col}`")
+    parts = pages.select(F.col(id_col), F.expr(host).alias("host"), F.expr(path).alias("path"))
+    suffixes = "explode(transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), -i, i), '.'))) as rhost"
+    asked = parts.select("host", "path").distinct().selectExpr("host as a_host", "path as a_path", suffixes)
+    known = rules.selectExpr("lower(host) as rhost", "path as rpath", "action").groupBy("rhost", "rpath").agg(F.max("action").alias("action"))
+    # the paths of a rule by length: a rule's path is a prefix of the URL's, so it is looked up by equality
+    lengths = known.selectExpr("rhost", "length(rpath) as n").distinct()
+    probes = asked.join(lengths, "rhost").filter("n <= length(a_path)").selectExpr("a_host", "a_path", "rhost", "left(a_path, n) as rpath")
+    hits = probes.join(known, ["rhost", "rpath"]).groupBy("a_host", "a_path").agg(F.max_by(F.struct(F.concat("rhost", "rpath").alias("rule"), "action"), F.struct(F.length("rhost"), F.length("rpath"))).alias("hit"))
+    same = (F.col("host") == F.col("a_host")) & (F.col("path") == F.col("a_path"))
+    return parts.join(hits, same, "left").select(id_col, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.action", F.lit(default)).alias("verdict"))
+
+
 def op10_url_filters(spark, sf_dir):
     return judge_urls(load(spark, sf_dir, "pages"))
 
