@@ -27,7 +27,7 @@ MAX_LOST = 0.5
 #: A line of at least this many words needs some sentence punctuation.
 LONG_LINE_WORDS = 30
 NAV_SEPARATORS = 3
-#: Lower-case phrases of page furniture.
+#: Lower-case phrases of page furniture in English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved",
     "terms of service",
@@ -41,6 +41,27 @@ BOILERPLATE = (
     "sign up for our",
     "click here to",
     "lorem ipsum",
+    "alle rechte vorbehalten",
+    "allgemeine geschäftsbedingungen",
+    "datenschutzerklärung",
+    "wir verwenden cookies",
+    "cookies akzeptieren",
+    "javascript aktivieren",
+    "newsletter abonnieren",
+    "tous droits réservés",
+    "conditions générales",
+    "politique de confidentialité",
+    "nous utilisons des cookies",
+    "accepter les cookies",
+    "activer javascript",
+    "abonnez-vous à notre",
+    "todos los derechos reservados",
+    "términos y condiciones",
+    "política de privacidad",
+    "utilizamos cookies",
+    "aceptar cookies",
+    "activar javascript",
+    "suscríbete a nuestro",
 )
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
