@@ -50,7 +50,7 @@ REJECT_SHARE = 0.001
 #: A text is never rejected with a score above this.
 MAX_THRESHOLD = 0.5
 #: Nor for a probability of noise up to this.
-MIN_NOISE = 0.5
+MIN_NOISE = 0.9
 BLOCK_BYTES = 1 << 20
 SIZES = (2, 3, 4)
 
