@@ -30,6 +30,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -122,7 +123,7 @@ class WordTokenizer:
     hashed by prefix sums; its distinct words are merged together, each by its
     lowest-ranked pair (the leftmost of equals) per step, as the model merges
     them one by one. Ids of up to ``KNOWN_WORDS`` words (some 10 MB) are kept for
-    the next blocks, by 64-bit hash, as long as the tokenizer lives: one task.
+    the next blocks, by 64-bit hash, until the task ends.
     Texts with characters from ``_PLAIN`` on, or with something
     that could be a special token, go to the library's tokenizer as they are, and
     so do words of more than ``LONG_WORD`` bytes.
@@ -137,9 +138,9 @@ class WordTokenizer:
     _plain_bytes = bytes(c for c in range(256) if not re.match("[\x00-\x08\x0e-\x1f\x7f-\xa0\xad]", chr(c)))
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
-        self.inner = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
@@ -154,9 +155,16 @@ class WordTokenizer:
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.kind = np.array([_kind(chr(c)) for c in range(_PLAIN)], np.uint8)
         self.lower = np.array([ord(chr(c).lower()[0]) for c in range(_PLAIN)], np.uint16)
-        self._forget()
+        self.forget()
         self.mark = np.random.default_rng(71).integers(0, 1 << 63, _PLAIN, np.uint64) * np.uint64(2) + np.uint64(1)
 
+    @cached_property
+    def inner(self):
+        """The library's tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _plain(self, text: str) -> bool:
         if "<|" in text:
             return False
@@ -249,7 +257,7 @@ class WordTokenizer:
             out[_ragged(first[words], counts[words])] = ids[ids >= 0]
         return out, np.append(first, len(out))
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
@@ -283,7 +291,7 @@ class WordTokenizer:
         slot = self._look_up(found)
         new = np.flatnonzero(slot < 0)
         if len(self.known) + len(new) > self.KNOWN_WORDS and len(self.known):
-            self._forget()
+            self.forget()
             slot, new = np.full(len(found), -1), np.arange(len(found))
         if len(new):
             slot[new] = len(self.known) + np.arange(len(new))
@@ -324,9 +332,15 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+#: The models themselves, some MB each; what a task remembers of its words isn't kept.
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
 def _tokenizer(path: str) -> WordTokenizer:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordTokenizer(path)
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def cuts(n: int, size: int = SEQUENCE, unit: int = UNIT) -> list[tuple[int, int]]:
@@ -360,6 +374,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, unit: int
                 out = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens"])
                 out.insert(0, "doc_id", part["doc_id"].take(src).array)
                 yield out
+        tok.forget()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInPandas(trimmed(run), PIECE_SCHEMA)
 
