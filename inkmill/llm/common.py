@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,7 +56,6 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
 
 def give_back() -> None:
     """Return freed memory to the system, where the C library can."""
-    gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

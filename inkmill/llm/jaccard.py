@@ -23,10 +23,11 @@ is known, not so that every pair in it is listed.
 4. *T-occurrence search* decides: a leader's shingles are the query, the members'
    sets (in blocks of bounded size) the inverted lists. Before sets are moved,
    bitmaps of about a byte a shingle are: a bit that one set has and the other
-   hasn't is a shingle not shared, and pairs with too many of them go. Short lists are merged,
-   members short of the required overlap by more than the long lists could add
-   are dropped, and the rest are looked up in the long lists by binary search
-   (DivideSkip).
+   hasn't is a shingle not shared, and pairs with too many of them go. The short
+   lists are merged with a heap, members short of the required overlap by more
+   than the long lists could add are dropped, and the rest are looked up in the
+   long lists by binary search (DivideSkip). How many lists are long follows from
+   the required overlap and the longest list.
 5. Links join components by repeated minimum labels with pointer jumping.
 
 What is broadcast, the sketch's levels and a Bloom filter, has a fixed size.
@@ -41,8 +42,10 @@ rows. Other columns are dropped.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -50,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import cut_lineage, load
+from inkmill.llm.common import cut_lineage, load, trimmed
 from inkmill.llm.shingles import mix, shingle_sets
 
 SKETCH_BITS = 22
@@ -105,8 +108,8 @@ def _add_up(blocks: DataFrame, dtype: str) -> np.ndarray | None:
 
     schema = "block int, kind string, data binary"
     start = blocks.select("block", F.lit(dtype).alias("kind"), "data", F.spark_partition_id().alias("p"))
-    first = start.repartition(64, "block", F.pmod("p", F.lit(32))).select("block", "kind", "data").mapInPandas(add, schema)
-    rows = first.repartition(16, "block").mapInPandas(add, schema).collect()  # the array itself: a fixed size
+    first = start.repartition(64, "block", F.pmod("p", F.lit(32))).select("block", "kind", "data").mapInPandas(trimmed(add), schema)
+    rows = first.repartition(16, "block").mapInPandas(trimmed(add), schema).collect()  # the array itself: a fixed size
     if not rows:
         return None
     found = {r["block"]: np.frombuffer(zlib.decompress(r["data"]), "u4") for r in rows}
@@ -118,7 +121,7 @@ def _add_up(blocks: DataFrame, dtype: str) -> np.ndarray | None:
 
 def _sets_and_sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint8)  # up to 255
         seen, any_rows = set(), False
         for batch in batches:
             any_rows = any_rows or len(batch) > 0
@@ -128,14 +131,16 @@ def _sets_and_sketch(docs: DataFrame) -> DataFrame:
                 rows.append((len(s), *sig))
                 if len(s) and sig not in seen:  # one count for a task's copies
                     seen.add(sig)
-                    np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+                    at = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                    c = counts[at]
+                    counts[at] = c + (c < 255)
             out = pd.DataFrame(rows, columns=["n", "s1", "s2"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield out.assign(block=-1, data=None)
         if any_rows:
-            yield _blocks(np.minimum(counts, 255).astype(np.uint8)).assign(doc_id=pd.array([None] * (len(counts) // BLOCK), "Int64"), n=0, s1=0, s2=0)[["doc_id", "n", "s1", "s2", "block", "data"]]
+            yield _blocks(counts).assign(doc_id=pd.array([None] * (len(counts) // BLOCK), "Int64"), n=0, s1=0, s2=0)[["doc_id", "n", "s1", "s2", "block", "data"]]
 
-    return docs.selectExpr(*_TEXT).mapInPandas(run, "doc_id long, n long, s1 long, s2 long, block int, data binary")
+    return docs.selectExpr(*_TEXT).mapInPandas(trimmed(run), "doc_id long, n long, s1 long, s2 long, block int, data binary")
 
 
 def _order_levels(sketch: np.ndarray | None) -> np.ndarray:
@@ -182,7 +187,7 @@ def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             if parts:
                 yield table()
 
-    return docs.selectExpr(*_TEXT).filter("doc_id is not null").mapInPandas(run, "h long, doc_id long, n int, most int")
+    return docs.selectExpr(*_TEXT).filter("doc_id is not null").mapInPandas(trimmed(run), "h long, doc_id long, n int, most int")
 
 
 def _with_partner(rows: DataFrame) -> DataFrame:
@@ -213,27 +218,28 @@ def divide_skip(query: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
     hit = query[at] == pool
     at, owner = at[hit], owner[hit]
     order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
-    starts = np.searchsorted(at, np.arange(len(query) + 1))
-    lengths = np.diff(starts)
+    lists = np.split(owner[order], np.searchsorted(at[order], np.arange(1, len(query))))
+    lists.sort(key=len, reverse=True)
+    # the longest lists aren't merged; a member that links is in need - n_long short ones at least
     least = int(need.min())
-    longest = max(1, int(lengths.max(initial=1)))
-    n_long = min(least - 1, int(least / (MU * np.log2(longest + 1) + 1)), len(query))
-    # merging gains nothing from long lists that aren't longer than the rest
-    n_long = max(0, min(n_long, int((lengths > 2 * max(1.0, np.median(lengths))).sum())))
-    by_length = np.argsort(-lengths, kind="stable")
-    is_long = np.zeros(len(query), bool)
-    is_long[by_length[:n_long]] = True
-    counts = np.bincount(owner[~is_long[at]], minlength=len(members))  # the merge of the short lists
-    alive = np.flatnonzero(counts >= need - n_long)
-    for k in by_length[:n_long]:
+    n_long = max(0, min(least - 1, int(least / (MU * np.log2(max(2, len(lists[0]))) + 1))))
+    long, short = lists[:n_long], [x.tolist() for x in lists[n_long:]]
+    found, counts = [], []
+    for member, run in groupby(heapq.merge(*short)):
+        if (c := sum(1 for _ in run)) >= need[member] - n_long:
+            found.append(member)
+            counts.append(c)
+    alive, count = np.array(found, np.int64), np.array(counts, np.int64)
+    for k, postings in enumerate(long):
         if not len(alive):
             break
-        postings = owner[starts[k] : starts[k + 1]]
-        j = np.minimum(np.searchsorted(postings, alive), max(0, len(postings) - 1))
-        if len(postings):
-            counts[alive] += postings[j] == alive
-    return alive[counts[alive] >= need[alive]]
+        if len(postings):  # binary search of all that are left
+            j = np.minimum(np.searchsorted(postings, alive), len(postings) - 1)
+            count += postings[j] == alive
+        if k % 16 == 15:  # who can't reach the overlap any more goes
+            left = count + (n_long - k - 1) >= need[alive]
+            alive, count = alive[left], count[left]
+    return alive[count >= need[alive]]
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -295,7 +301,7 @@ def _rule_out(rows: DataFrame) -> DataFrame:
         if left:
             yield pd.DataFrame(left, columns=["leader", "rep"])
 
-    return rows.mapInPandas(run, "leader long, rep long")
+    return rows.mapInPandas(trimmed(run), "leader long, rep long")
 
 
 def _dealt(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -337,7 +343,7 @@ def _search(rows: DataFrame) -> DataFrame:
         if links:
             yield pd.DataFrame(links, columns=["a", "b"])
 
-    return rows.mapInPandas(run, "a long, b long")
+    return rows.mapInPandas(trimmed(run), "a long, b long")
 
 
 def _candidate_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -348,15 +354,15 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
         return [(h >> np.uint64(k)).astype(np.int64) & ((1 << BLOOM_BITS) - 1) for k in (0, 13, 26)]
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, any_rows = np.zeros(1 << BLOOM_BITS, bool), False
+        packed, any_rows = np.zeros(1 << BLOOM_BITS >> 3, np.uint8), False
         for batch in batches:
             for p in positions(batch["rep"].to_numpy()):
-                bits[p] = True
+                np.bitwise_or.at(packed, p >> 3, (1 << (7 - (p & 7))).astype(np.uint8))
             any_rows = any_rows or len(batch) > 0
         if any_rows:
-            yield _blocks(np.packbits(bits))
+            yield _blocks(packed)
 
-    bloom = _add_up_bits(reps.mapInPandas(build, "block int, data binary"))
+    bloom = _add_up_bits(reps.mapInPandas(trimmed(build), "block int, data binary"))
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -374,7 +380,7 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     if bloom is None:
         return docs.sparkSession.createDataFrame([], "id long, n int, bits binary, data binary")
-    return docs.selectExpr(*_TEXT).filter("doc_id is not null").mapInPandas(run, "id long, n int, bits binary, data binary")
+    return docs.selectExpr(*_TEXT).filter("doc_id is not null").mapInPandas(trimmed(run), "id long, n int, bits binary, data binary")
 
 
 def _add_up_bits(blocks: DataFrame) -> np.ndarray | None:
@@ -389,8 +395,8 @@ def _add_up_bits(blocks: DataFrame) -> np.ndarray | None:
         yield pd.DataFrame({"block": list(sums), "data": [zlib.compress(v.tobytes(), 1) for v in sums.values()]}, columns=["block", "data"])
 
     schema = "block int, data binary"
-    first = blocks.withColumn("p", F.spark_partition_id()).repartition(64, "block", F.pmod("p", F.lit(32))).select("block", "data").mapInPandas(unite, schema)
-    rows = first.repartition(16, "block").mapInPandas(unite, schema).collect()  # the bitmap itself: a fixed size
+    first = blocks.withColumn("p", F.spark_partition_id()).repartition(64, "block", F.pmod("p", F.lit(32))).select("block", "data").mapInPandas(trimmed(unite), schema)
+    rows = first.repartition(16, "block").mapInPandas(trimmed(unite), schema).collect()  # the bitmap itself: a fixed size
     if not rows:
         return None
     found = {r["block"]: np.frombuffer(zlib.decompress(r["data"]), np.uint8) for r in rows}

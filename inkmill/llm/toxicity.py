@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import load
+from inkmill.llm.common import give_back, load
 from inkmill.llm.langid import bounded_sample
 
 SAMPLE_DOCS = 6000
@@ -48,7 +48,7 @@ MIN_LEAF = 8
 THRESHOLD = 0.7
 NEAR = 5
 FOLDS = 4
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 #: Second-person words of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer tú ti tus usted ustedes vosotros".split())
@@ -271,6 +271,8 @@ def scorer(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
         for texts in batches:
             x = np.stack([features(t) for t in texts]) if len(texts) else np.zeros((0, N_FEATURES))
             yield pd.Series(m.scores(x))
+        features.seen.clear()
+        give_back()
 
     return run(F.col(text).cast("string"))
 
