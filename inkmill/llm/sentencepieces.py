@@ -36,10 +36,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from inkmill.llm.common import load
+from inkmill.llm.common import give_back, load
 
 MARK = "▁"
-CACHE_RUNS = 1_200_000
+#: Runs that one task remembers (about 100 MB); they are dropped at its end.
+CACHE_RUNS = 400_000
 CACHE_PAIRS = 500_000
 #: Runs up to this many characters are remembered.
 RUN_CHARS = 48
@@ -290,6 +291,8 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
                         gc.enable()
                 same = [model.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_pieces": [len(i) for i in ids], "ids": [np.array(i, np.int32) for i in ids], "round_trip": same})
+        model.runs.clear()
+        give_back()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInPandas(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
