@@ -1,6 +1,9 @@
+import hashlib
+import io
 import json
 import random
 import re
+import wave
 import zlib
 from itertools import combinations
 
@@ -56,6 +59,15 @@ def test_sentencepiece_against_the_library(spark):
     for t in texts[:500]:
         a, b = uni.encode(t), lib.encode(t)
         assert a == b or abs(sum(uni.scores[i] for i in a) - sum(uni.scores[i] for i in b)) < 1e-2
+    # whole documents: where ways tie, sums of scores are equal
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    same = 0
+    for t in docs:
+        a, b = uni.encode(t), lib.encode(t)
+        same += a == b
+        assert a == b or abs(sum(uni.scores[i] for i in a) - sum(uni.scores[i] for i in b)) < 1e-6 * len(a) * 100
+        assert uni.decode(a) == t
+    assert same > 0.9 * len(docs)
     got = sentencepieces.encode(edge(spark), path)
     assert all(r.round_trip and r.n_pieces == len(r.ids) for r in got.collect())
     assert collect(sentencepieces.decode(got, path), "doc_id", "text") == sorted(((a, b or "") for a, b in EDGE), key=repr)
@@ -87,6 +99,28 @@ def test_sharding_one_large_row_of_a_hot_key(spark):
     assert len(shards) <= 4 + 3100 // 100 + 1
 
 
+def test_sharding_of_a_hot_key(spark):
+    """Many alike rows of one key: runs within the limit, none lost, nothing depends on the chunks."""
+    rows = [(None, "x" * (k % 7)) for k in range(3000)] + [(k, "y" * 9) for k in range(200)]
+    whole = collect(sharding.shard(edge(spark, rows), 100), "doc_id", "n_bytes", "shard", "shard_bytes")
+    size, sharding.CHUNK_ROWS = sharding.CHUNK_ROWS, 16
+    try:
+        assert collect(sharding.shard(edge(spark, rows).repartition(5), 100), "doc_id", "n_bytes", "shard", "shard_bytes") == whole
+    finally:
+        sharding.CHUNK_ROWS = size
+    sizes = {}
+    for _, n, name, _ in whole:
+        sizes[name] = sizes.get(name, 0) + n
+    assert len(whole) == len(rows) and sorted(r[1] for r in whole) == sorted(len(t) for _, t in rows)
+    assert all(total == sizes[name] <= 100 for _, _, name, total in whole)
+    assert len([name for name in sizes if "." in name]) <= 3000 * 3 // 94 + 2
+
+
+def test_sharding_query_splits(spark):
+    got = sharding.op2_sharding(spark, "/root/testdata/sf0.01")
+    assert {r[0] for r in got.select("depth").distinct().collect()} >= {4, 5}
+
+
 def test_packing(spark):
     lengths, demand = np.array([3, 5, 7]), np.array([30.0, 40.0, 20.0])
     columns, x = packing.column_generation(lengths, demand, 16)
@@ -167,6 +201,70 @@ def test_chat_reports_calls(spark):
     assert [(r.n_unanswered, r.n_no_schema, r.n_repeated) for r in got] == want
 
 
+def brute_chat(rows):
+    """Statuses and positions, message by message."""
+    parsed = []
+    for conv, turn, role, text in rows:
+        try:
+            j = json.loads(text) if text.lstrip().startswith("{") else None
+        except ValueError:
+            j = None
+        parsed.append((conv, turn, role, text, j, (j or {}).get("tool_calls") or [], (j or {}).get("tool_call_id") if role == "tool" else None))
+    first, times, answered, out = {}, {}, set(), []
+    for conv, turn, _, _, _, calls, result_of in parsed:
+        answered.add((conv, result_of))
+        for k, c in enumerate(calls):
+            if c.get("id") is not None:
+                key = conv, c["id"]
+                times[key] = times.get(key, 0) + 1
+                first[key] = min(first.get(key, (turn, k, c["name"])), (turn, k, c["name"]))
+
+    def valid(c):
+        args, kinds = c.get("arguments"), {"search": {"query": str, "limit": int}, "calculate": {"expression": str}}.get(c["name"])
+        return kinds is not None and isinstance(args, dict) and next(iter(kinds)) in args and all(type(args[f]) is t for f, t in kinds.items() if f in args)
+
+    for conv, turn, role, text, j, calls, result_of in parsed:
+        call = first.get((conv, result_of)) if result_of is not None else None
+        status = "result" if call else "orphan result" if role == "tool" else "calls" if calls else "text"
+        fields = {"content": text if j is None else j, "role": role, "turn": turn} | ({"name": call[2]} if call else {})
+        dumped = json.dumps(fields, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        place = (turn if call is None else max(turn, call[0]), 2 if role == "tool" else 1, turn, hashlib.md5(dumped.encode()).hexdigest())
+        counts = len(calls), sum(not valid(c) for c in calls), sum((conv, c.get("id")) not in answered or c.get("id") is None for c in calls)
+        out.append((conv, place, dumped, status, *counts, sum(c["name"] not in ("search", "calculate") for c in calls), sum(times.get((conv, c.get("id")), 0) > 1 for c in calls)))
+    out.sort(key=lambda x: x[:2])
+    return sorted((conv, sum(y[0] == conv for y in out[:k]), *rest) for k, (conv, _, *rest) in enumerate(out))
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_chat_against_brute_force(spark, parts):
+    rng = random.Random(int(parts))
+    rows = []
+    for k in range(400):
+        conv, turn = rng.choice([1, 1, 1, 2, 3, k]), rng.randrange(12)  # one conversation has half of the rows
+        kind = rng.randrange(5)
+        if kind == 0:
+            rows.append((conv, turn, "tool", json.dumps({"tool_call_id": f"c{rng.randrange(15)}", "content": {"b": k % 3, "a": ["ü", None]}}, ensure_ascii=False)))
+        elif kind == 1:
+            calls = [chat_call(rng.choice([None, f"c{rng.randrange(15)}"]), rng.choice(["q", 5]), rng.choice(["search", "calculate", "other"])) for _ in range(rng.randint(1, 3))]
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": calls})))
+        else:
+            rows.append((conv, turn, rng.choice(["user", "system"]), rng.choice(["plain \"text\"\n", "{broken", "x" * 5000, str(k)])))
+    rows += rows[:40]
+    docs = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn int, role string, text string, position int, status string")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = collect(chat.format_chat(docs), "conv_id", "position", "json", "status", "n_calls", "n_invalid", "n_unanswered", "n_no_schema", "n_repeated")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == sorted(brute_chat(rows), key=repr)
+
+
+def test_chat_query_has_work(spark):
+    got = chat.op5_chat_formatting(spark, "/root/testdata/sf0.001").collect()
+    assert {r.status for r in got} == {"text", "calls", "result", "orphan result"}
+    assert all(sum(getattr(r, n) for r in got) > 0 for n in ("n_calls", "n_invalid", "n_unanswered", "n_no_schema"))
+
+
 def brute_components(rows):
     sets = []
     for _, t in rows:
@@ -250,18 +348,73 @@ def test_media(spark):
     assert len({r.feature for r in got if r.doc_id in (2, 3)}) == 1
 
 
-def test_media_every_sample_counts():
+def brute_pairs(samples):
+    """Peaks and pairs of one sound, bin by bin."""
+    pad, hop = [128] * 64, media.HOP
+    n = -(-len(samples) // hop) + 1
+    x = np.array([*pad, *samples, *[128] * (n * hop)], float) - 128
+    power = np.array([np.abs(np.fft.rfft(np.float32(x[k * hop : k * hop + 128]) * media._WINDOW)) for k in range(n)])
+    value = lambda t, f: power[t][f] if 0 <= t < n and 0 <= f < power.shape[1] else 0.0
+    peaks = {}
+    for t in range(n):
+        for b, (lo, hi) in enumerate(zip(media.BANDS, media.BANDS[1:])):
+            top = [f for f in range(lo, hi) if value(t, f) > media.FLOOR and value(t, f) > max(value(t, f - 1), value(t, f + 1)) and value(t, f) >= max(value(t - 1, f), value(t + 1, f))]
+            if top:
+                peaks[t, b] = max(top, key=lambda f: (value(t, f), -f))
+    return sorted((t, f << 16 | g << 8 | u - t) for (t, b), f in peaks.items() for (u, c), g in peaks.items() if t < u <= t + media.FAN_OUT or t == u and b < c)
+
+
+def test_fingerprints_against_brute_force():
     rng = np.random.default_rng(7)
-    for n in (64, 128, 640):
-        noise = rng.integers(100, 156, (8, n)).astype(np.uint8)
-        for at in range(n):  # frame borders too: a changed sample moves a peak of one of the noises
-            loud = noise.copy()
-            loud[:, at] = 255
-            assert any((media.band_peaks(a) != media.band_peaks(b)).any() for a, b in zip(noise, loud))
-        t, c = media.fingerprint(noise[0])
-        assert len(t) == len(c) and set((c & 255).tolist()) == ({0, 1} if n == 64 else {0, 1, 2})
+    sounds = [rng.integers(97, 123, n).astype(np.uint8) for n in (64, 128, 640, 64 * 41)] + [np.full(256, 128, np.uint8), rng.integers(0, 256, 320).astype(np.uint8)]
+    for x, (t, c) in zip(sounds, media.fingerprints(sounds)):
+        assert list(zip(t.tolist(), c.tolist())) == brute_pairs(x)
+        alone = media.fingerprint(x)
+        assert alone[0].tolist() == t.tolist() and alone[1].tolist() == c.tolist()
+    assert [len(t) > 0 for t, _ in media.fingerprints(sounds)] == [True] * 4 + [False, True]
+    long = rng.integers(0, 256, media.HOP * (media.BLOCK_FRAMES + 40)).astype(np.uint8)  # over a block's border
+    t, c = media.fingerprint(long)
+    assert list(zip(t.tolist(), c.tolist())) == brute_pairs(long)
     short = ["".join(map(chr, rng.integers(97, 123, 64))) for _ in range(100)]
-    assert len({media.describe(t)[6] for t in short}) > 90
+    assert len({r[6] for r in media.describe(short)}) > 90
+
+
+def test_media_digests(spark):
+    rows = {r.doc_id: r for r in media.media_columns(edge(spark, [(k, t) for k, (_, t) in enumerate(EDGE)])).collect()}
+    files = {r.doc_id: bytes(r.wav) for r in media.media_files(edge(spark, [(k, t) for k, (_, t) in enumerate(EDGE)])).collect()}
+    for k, (_, text) in enumerate(EDGE):
+        raw = (text or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r = rows[k]
+        with wave.open(io.BytesIO(files[k])) as w:
+            assert w.readframes(w.getnframes()) == payload
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(files[k]), hashlib.sha256(files[k]).hexdigest())
+
+
+def test_letters():
+    model = langid.LanguageModel([], np.zeros((langid.BUCKETS, 0), np.float32), np.zeros(0))
+    assert [model.predict(t)[2] for t in ("½ ²", "Ⅷ", "12 % _", "²a", "中", "\t")] == [True, True, True, False, False, True]
+
+
+def test_language_learns_from_every_kind_of_row(spark):
+    """A language whose texts are all long is learned; one that was never seen is rejected; blocks of long texts add up."""
+    rng = random.Random(9)
+    words = {"aa": ["thes", "wher", "ing", "tion"], "bb": ["quel", "eaux", "ment", "oire"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(6000 if lang == "bb" and i % 2 else 30)), lang) for i in range(120) for lang in [["aa", "bb"][i % 2]]]
+    rows += [(500, "quel eaux ment", ""), (None, "thes wher", "aa"), (0, rows[0][1], "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.langs[-2:] == ["aa", "bb"] and sum(model.predict(t)[0] == lang for _, t, lang in rows[:120]) >= 118
+    assert len(langid.identify(docs, model).collect()) == len(rows)
+    long = " ".join(["quel eaux"] * 150_000)  # over a block's border
+    whole, size = langid.LanguageModel(model.langs, model.scores, model.bias).logits(long), langid.BLOCK_BYTES
+    langid.BLOCK_BYTES = 1 << 30
+    try:
+        assert np.allclose(whole, langid.LanguageModel(model.langs, model.scores, model.bias).logits(long))
+    finally:
+        langid.BLOCK_BYTES = size
+    assert model.predict(" ".join(["щжф", "ъыэ", "юяц"] * 20))[2]
 
 
 def test_language(spark):
@@ -275,6 +428,22 @@ def test_language(spark):
     assert [(r.lang_pred, r.rejected) for r in odd[:2]] == [("und", True)] * 2 and odd[2].lang_pred == "aa"
 
 
+def test_url_trie_and_join_agree(spark):
+    rng = random.Random(3)
+    hosts = ["a.org", "b.a.org", "org", "com", "x.com", "A.com", "c.b.a.org"]
+    paths = ["", "/", "/a", "/a/", "/a/b", "/a/bc", "/a//b", "/é/"]
+    rules = [(rng.choice(hosts), rng.choice(paths), rng.choice(["allow", "block"])) for _ in range(25)]
+    pages = spark.createDataFrame([(k, rng.choice([None, "nothing", "http://" + rng.choice(hosts) + rng.choice(paths) + rng.choice(["", "x", "/y", "?q", "#f"])]), 1) for k in range(300)] * 2, "page_id long, url string, verdict int")
+    want = collect(urls.judge_urls(pages, rules), "page_id", "host", "path", "rule", "verdict")
+    table = spark.createDataFrame(rules, "host string, path string, action string")
+    assert collect(urls.judge_by_join(pages, table), "page_id", "host", "path", "rule", "verdict") == want and len(want) == 600
+    for k, host, path, rule, verdict in want:
+        fits = [(len(h), len(p), a == "block", h.lower() + p, a) for h, p, a in rules if (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p) and host]
+        assert (rule, verdict) == (max(fits)[3:] if fits else (None, "allow"))
+    deep = urls.UrlTrie([("a.b", "/x" * 3000, "block")])
+    assert deep.find("a.b", "/x" * 3000 + "/y") == ("a.b" + "/x" * 3000, "block") and deep.find("a.b", "/x" * 2999) is None
+
+
 @pytest.mark.parametrize("url, rule, verdict", [
     ("http://a.ORG/x", "org/", "allow"), ("https://b.example.org/en/12?q", "example.org/en/1", "block"), ("https://example.org/en/2", "org/", "allow"), ("http://xexample.org/es/", "org/", "allow"),
     ("http://a.com/de/#x", "com/de/", "block"), ("http://a.com/de", None, "allow"), ("http://a.org", None, "allow"), ("nothing", None, "allow"), (None, None, "allow"),
