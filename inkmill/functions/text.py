@@ -29,4 +29,9 @@ def unix_newlines(sql: str) -> str:
 
 
 def literal(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``value`` computed once. Plans inline a column into a lambda that names it, once per element."""
+    return f"transform(array({value}), {name} -> {body})[0]"

@@ -12,7 +12,7 @@ from inkmill.functions.text import nonblank, strip
 
 FALLBACK_ENGINES = ("pymupdf", "skip", "failed")
 #: Fixed value: a line that heads the references of a paged text.
-REFERENCES_LINE = r"(?imU)^\\s*(?:(?:\\d+[\\.\\s]+)?references|(?:\\d+[\\.\\s]+)?bibliography|参考文献)\\s*$"
+REFERENCES_LINE = r"(?dimU)^\\s*(?:(?:\\d+[\\.\\s]+)?references|(?:\\d+[\\.\\s]+)?bibliography|参考文献)\\s*$"
 
 
 def body_end(pages: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ TABLES_BELOW = "<!-- tables rendered as images below -->"
 
 def dehyphenate(sql: str) -> str:
     """Join words cut by a hyphen at a line end; drop blanks at line ends."""
-    joined = f"regexp_replace({sql}, '(?U)(\\\\w)-\\\\n(\\\\w)', '$1$2')"
+    joined = f"regexp_replace({sql}, '([\\\\p{{L}}\\\\p{{N}}_])-\\\\n([\\\\p{{L}}\\\\p{{N}}_])', '$1$2')"
     return f"regexp_replace({joined}, '[ \\\\t]+\\\\n', '\\n')"
 
 
@@ -53,13 +53,14 @@ def compact_blank_lines(sql: str) -> str:
 
 def _outside_fences(sql: str, change: str) -> str:
     """Apply ``change`` (SQL over ``l``) to lines outside fences that aren't table rows."""
-    lines = f"split({sql}, '\\n')"
     fence = f"startswith({strip('l')}, '```')"
-    marked = f"transform({lines}, l -> struct(l as l, {fence} as f))"
-    # an odd number of fences before a line: it is inside
-    step = "struct(a.open <> x.f as open, array_append(a.out, case when x.f or a.open or rlike(x.l, '(?U)^\\\\s*\\\\|') then x.l else {} end) as out)"
-    changed = step.format(change.replace("{l}", "x.l"))
-    return f"array_join(aggregate({marked}, struct(false as open, cast(array() as array<string>) as out), (a, x) -> {changed}, a -> a.out), '\\n')"
+    # places of fences, in pairs: what lies between is inside; the last pair ends the text
+    places = f"filter(transform(ls, (l, i) -> case when {fence} then i end), i -> i is not null)"
+    pairs = "transform(filter(fs, (f, k) -> k % 2 = 0), (f, k) -> struct(f as a, coalesce(get(fs, 2 * k + 1), size(ls)) as b))"
+    spans = f"transform(array({places}), fs -> concat({pairs}, array(struct(size(ls) as a, size(ls) as b))))[0]"
+    outside = f"transform(slice(ls, p + 1, greatest(0, s.a - p)), l -> case when rlike(l, '(?U)^\\\\s*\\\\|') then l else {change.replace('{l}', 'l')} end)"
+    piece = f"transform(array(coalesce(get(ss, k - 1).b + 1, 0)), p -> concat({outside}, slice(ls, s.a + 1, s.b - s.a + 1)))[0]"
+    return f"array_join(transform(array(split({sql}, '\\n')), ls -> transform(array({spans}), ss -> flatten(transform(ss, (s, k) -> {piece})))[0])[0], '\\n')"
 
 
 def full_width_punctuation(sql: str) -> str:
@@ -68,8 +69,8 @@ def full_width_punctuation(sql: str) -> str:
     for half, full in FULL_WIDTH.items():
         mark = half if half in ",;:!" else f"\\\\{half}"
         change = f"regexp_replace({change}, '([{CJK}]){mark}(?=[{CJK} ])', '$1{full}')"
-        change = f"regexp_replace({change}, '([{CJK}]){mark}$', '$1{full}')"
-    change = f"regexp_replace({change}, '(?U)([{CJK}])\\\\.(?=\\\\s|$)', '$1。')"
+        change = f"regexp_replace({change}, '([{CJK}]){mark}\\\\z', '$1{full}')"
+    change = f"regexp_replace({change}, '(?U)([{CJK}])\\\\.(?=\\\\s|\\\\z)', '$1。')"
     return _outside_fences(sql, change)
 
 

@@ -14,11 +14,11 @@ from inkmill.functions.text import nonblank, strip, strip_newlines
 MIN_CHARS = 6000
 MAX_CHARS = 10_000
 
-#: A heading of level 1 or 2 begins a section; deeper ones stay in its body.
-_SECTION_START = r"(?m)(?=^#{1,2}(?![#])(?U:\\s)(?<!\\n)[^\\n])"
+#: Lines end at \\n and nowhere else (flag d). A heading of level 1 or 2 begins a section; deeper ones stay in its body.
+_SECTION_START = r"(?dm)(?=^#{1,2}(?![#])(?U:\\s)(?<!\\n)[^\\n])"
 _HEADING = r"^(#{1,2})(?U:\\s)+?([^\\n]+)"
 #: Fixed value: a heading in a body at which references begin.
-CUTOFF = r"(?imU)^#{1,6}\\s*(references\\b.*|bibliography\\b.*|参考文献.*)\\s*$"
+CUTOFF = r"(?dimU)^#{1,6}\\s*(references\\b.*|bibliography\\b.*|参考文献.*)\\s*$"
 
 
 def split_sections(column: str = "md") -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.functions.text import nonblank, strip
+from inkmill.functions.text import let, nonblank, strip
 
 HYBRID_MAX_CHARS = 12_000
 WINDOW_CHARS = 3200
@@ -31,24 +31,31 @@ def build_units(docs: DataFrame, mode: str = "segment", max_chars: int = HYBRID_
       'segment_ids', transform(b.segs, s -> s.id), 'section_heading', b.segs[0].section_heading, 'section_level', b.segs[0].section_level,
       'text', {text}, 'is_reference', forall(b.segs, s -> s.is_reference), 'char_len', length({text}))"""
     # islands of (heading, level), then parts: a running (section, part, used) per segment
-    same = "i > 0 and s.section_heading = segments[i - 1].section_heading and s.section_level = segments[i - 1].section_level"
-    keyed = docs.withColumn("__k", F.expr(f"transform(segments, (s, i) -> struct(s as s, not ({same}) as new))"))
-    full = f"a.used + k.s.char_len + 2 > {max_chars}" if mode == "hybrid" else "false"
-    step = f"""case
-      when k.new then named_struct('section', a.section + 1, 'part', 1, 'used', k.s.char_len + 2, 'at', array_append(a.at, struct(a.section + 1 as section, 1 as part)))
-      when {full} then named_struct('section', a.section, 'part', a.part + 1, 'used', k.s.char_len + 2, 'at', array_append(a.at, struct(a.section as section, a.part + 1 as part)))
-      else named_struct('section', a.section, 'part', a.part, 'used', a.used + k.s.char_len + 2, 'at', array_append(a.at, struct(a.section as section, a.part as part))) end"""
-    start = "named_struct('section', 0, 'part', 0, 'used', 0, 'at', cast(array() as array<struct<section:int,part:int>>))"
-    placed = keyed.withColumn("__at", F.expr(f"aggregate(__k, {start}, (a, k) -> {step}, a -> a.at)"))
-    buckets = "transform(array_distinct(__at), p -> struct(p.section as section, p.part as part, filter(segments, (s, i) -> __at[i] = p) as segs))"
-    return placed.withColumn("units", F.expr(f"transform({buckets}, b -> {unit})")).drop("__k", "__at")
+    new = "i = 0 or ss[i - 1].section_heading <> s.section_heading or ss[i - 1].section_level <> s.section_level"
+    keys = f"transform(ss, (s, i) -> struct(s.char_len + 2 as n, {new} as new))"
+    full = f"a.used + k.n > {max_chars}" if mode == "hybrid" else "false"
+    place = f"case when k.new then struct(a.section + 1 as section, 1 as part, k.n as used) when {full} then struct(a.section as section, a.part + 1 as part, k.n as used) else struct(a.section as section, a.part as part, a.used + k.n as used) end"
+    step = let("p", place, "struct(p.section as section, p.part as part, p.used as used, array_append(a.places, struct(p.section as section, p.part as part)) as places)")
+    start = "struct(0 as section, 0 as part, 0 as used, cast(array() as array<struct<section:int,part:int>>) as places)"
+    places = f"aggregate({keys}, {start}, (a, k) -> {step}, a -> a.places)"
+    # a unit's segments are neighbours: from one new (section, part) to the next
+    firsts = "filter(sequence(0, size(ps)), i -> i = 0 or i = size(ps) or ps[i] <> ps[i - 1])"
+    buckets = "transform(slice(fs, 1, greatest(0, size(fs) - 1)), (f, k) -> struct(ps[f].section as section, ps[f].part as part, slice(ss, f + 1, fs[k + 1] - f) as segs))"
+    made = let("ss", "segments", let("ps", places, let("fs", firsts, f"transform({buckets}, b -> {unit})")))
+    return docs.withColumn("units", F.expr(made))
 
 
 def assign_waves(docs: DataFrame) -> DataFrame:
-    """Adds ``wave`` to each unit: its ordinal among the heading's translatable units; -1 for references."""
-    earlier = "size(filter(slice(units, 1, i), v -> v.section_heading = u.section_heading and not v.is_reference))"
+    """Adds ``wave`` to each unit: its ordinal among the heading's translatable units; -1 for references.
+
+    Units are sorted by heading and counted in one fold, then put back in order.
+    """
+    keys = "array_sort(transform(units, (u, i) -> struct(u.is_reference as r, u.section_heading as h, i as i)))"
+    step = "struct(k.r as r, k.h as h, case when k.h <=> a.h and k.r <=> a.r then a.n + 1 else 0 end as n, array_append(a.out, struct(k.i as i, case when k.r then -1 when k.h <=> a.h and k.r <=> a.r then a.n + 1 else 0 end as w)) as out)"
+    start = "struct(cast(null as boolean) as r, cast(null as string) as h, -1 as n, cast(array() as array<struct<i:int,w:int>>) as out)"
+    waves = f"array_sort(aggregate({keys.replace('units', 'us')}, {start}, (a, k) -> {step}, a -> a.out))"
     fields = ", ".join(f"u.{c} as {c}" for c in ("id", "kind", "segment_ids", "section_heading", "section_level", "text", "is_reference", "char_len"))
-    return docs.withColumn("units", F.expr(f"transform(units, (u, i) -> struct({fields}, case when u.is_reference then -1 else {earlier} end as wave))"))
+    return docs.withColumn("units", F.expr(let("us", "units", let("ws", waves, f"transform(us, (u, i) -> struct({fields}, ws[i].w as wave))"))))
 
 
 def wave_plan(docs: DataFrame) -> DataFrame:
@@ -72,13 +79,28 @@ def windows(docs: DataFrame) -> DataFrame:
 
     A neighbour counts if it has the same heading and isn't a reference. What
     follows is cut at ``WINDOW_CHARS`` characters, separators not counted.
+
+    Each unit has a place: the characters before it, plus a gap wider than the
+    window before each run of neighbours. Places and the window's ends behind
+    them, sorted together, tell how far each window reaches, so a document of n
+    units takes n log n steps.
     """
-    same = "(v.section_heading = u.section_heading and not v.is_reference)"
-    after = f"""aggregate(slice(units, i + 2, greatest(0, size(units) - i - 1)), named_struct('open', true, 'used', 0, 'out', cast(array() as array<string>)), (a, v) ->
-      case when not a.open or a.used >= {WINDOW_CHARS} or not {same} then named_struct('open', false, 'used', a.used, 'out', a.out)
-           else named_struct('open', true, 'used', a.used + least(length(v.text), {WINDOW_CHARS} - a.used), 'out', array_append(a.out, left(v.text, {WINDOW_CHARS} - a.used))) end, a -> array_join(a.out, '\\n\\n'))"""
-    before = f"transform(array(units[i - 1]), v -> case when {same} then struct(v.id as id, right(v.text, {WINDOW_CHARS}) as text) end)[0]"
-    rows = docs.withColumn("__c", F.expr(f"transform(units, (u, i) -> struct(u as u, i as unit_idx, case when i > 0 then {before} end as p, {strip(after)} as next_source))"))
+    same = "us[i - 1].section_heading = u.section_heading and not us[i - 1].is_reference"
+    near = f"transform(us, (u, i) -> i > 0 and {same})"
+    # a reference follows nothing
+    gap = f"case when near[i] and not u.is_reference then 0 else {WINDOW_CHARS + 1} end"
+    sizes = f"transform(us, (u, i) -> struct({gap} as gap, length(u.text) as n))"
+    step = "struct(a.n + k.gap + k.n as n, array_append(a.out, a.n + k.gap) as out)"
+    places = f"aggregate({sizes}, struct(0L as n, cast(array() as array<bigint>) as out), (a, k) -> {step}, a -> a.out)"
+    # an end sorts before a unit at the same place: it isn't reached
+    events = f"array_sort(concat(transform(ps, (x, i) -> struct(x as x, 1 as kind, i as i)), transform(ps, (x, i) -> struct(x + {WINDOW_CHARS} as x, 0 as kind, i as i))))"
+    count = "struct(a.n + e.kind as n, case when e.kind = 0 then array_append(a.out, struct(e.i as i, a.n as n)) else a.out end as out)"
+    reach = f"array_sort(aggregate({events}, struct(0 as n, cast(array() as array<struct<i:int,n:int>>) as out), (a, e) -> {count}, a -> a.out))"
+    pieces = f"transform(slice(us, i + 2, reach[i + 1].n - i - 1), (v, k) -> left(v.text, cast({WINDOW_CHARS} - (ps[i + 1 + k] - ps[i + 1]) as int)))"
+    after = f"case when get(near, i + 1) and not get(us, i + 1).is_reference then {strip(f"array_join({pieces}, '\\n\\n')")} else '' end"
+    before = f"case when near[i] then struct(us[i - 1].id as id, right(us[i - 1].text, {WINDOW_CHARS}) as text) end"
+    context = f"transform(us, (u, i) -> struct(u as u, i as unit_idx, {before} as p, {after} as next_source))"
+    rows = docs.withColumn("__c", F.expr(let("us", "units", let("near", near, let("ps", places, let("reach", reach, context))))))
     return rows.select("doc_id", F.explode_outer("__c").alias("c")).filter("c is not null").selectExpr("doc_id", "c.unit_idx", "c.u.*", "c.p.id as previous_id", "coalesce(c.p.text, '') as previous_source", "c.next_source")
 
 

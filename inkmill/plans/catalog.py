@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions.text import literal
 from inkmill.operators import assemble, chunks, clean, glossary, mask, qa, segment, units
-from inkmill.plans import fixtures, pipeline
+from inkmill.plans import fixtures, pipeline, stage
 from inkmill.sources import html, ingest
 
 #: Terms of the registered glossary queries.
@@ -38,7 +38,7 @@ def _prepared(spark, d, mode="hybrid"):
 
 
 def _finalized(spark, d):
-    prepared = _prepared(spark, d)
+    prepared = stage.written(_prepared(spark, d))
     zh = fixtures.unit_zh(units.explode_units(prepared))
     return pipeline.finalize(prepared, zh)
 
@@ -87,7 +87,7 @@ def queries():
     q["u10_wave_plan"] = lambda s, d: units.wave_plan(units.assign_waves(units.build_units(_segmented(s, d), "hybrid"))).drop("waves")
     q["u11_index_rows"] = lambda s, d: units.index_rows(u := _unit_rows(s, d), fixtures.unit_zh(u))
     q["g2_glossary_matches"] = lambda s, d: glossary.matches(_docs(s, d).select("doc_id", "text"), _glossary(s), "text").selectExpr("doc_id", "array_join(glossary, '; ') as terms")
-    q["g4_prompts"] = lambda s, d: pipeline.make_prompts(p := _prepared(s, d), _glossary(s), fixtures.unit_zh(units.explode_units(p)))
+    q["g4_prompts"] = lambda s, d: pipeline.make_prompts(p := _prepared(s, d), None, fixtures.unit_zh(units.explode_units(p)))
     q["a1_collect"] = lambda s, d: assemble.collect(u := _unit_rows(s, d, "segment"), fixtures.unit_zh(u))
     q["a4_postprocess"] = lambda s, d: _finalized(s, d)[0]
     q["a6_missing_images"] = lambda s, d: assemble.missing_images(fixtures.paper_md(s, d), _docs(s, d).filter("doc_id % 2 = 0").selectExpr("doc_id", "concat('assets/f', doc_id, '.png') as path"), "md")
@@ -152,7 +152,7 @@ def oracle_sql():
     q = {}
     q["s1_path_kind"] = r"select page_id, case when regexp_matches(lower(url), '\.pdf$') then 'pdf' when regexp_matches(lower(url), '\.html?$') then 'html' when regexp_matches(lower(url), '\.(md|markdown)$') then 'markdown' end as kind from pages"
     q["s2_classify_urls"] = rf"""select page_id, case when {_HOST} = '' then null when a is not null then 'arxiv' when lower({_PATH}) like '%.pdf' then 'pdf' else 'html' end as kind, a as arxiv_id,
-      case when a is not null then 'https://arxiv.org/html/' || a || ' https://ar5iv.labs.arxiv.org/html/' || a || ' https://arxiv.org/pdf/' || a when {_HOST} <> '' then url else '' end as candidates
+      case when a is not null then 'https://arxiv.org/html/' || a || ' https://ar5iv.labs.arxiv.org/html/' || a || ' https://arxiv.org/pdf/' || a || '.pdf' when {_HOST} <> '' then url else '' end as candidates
       from (select *, case when lower({_HOST}) like '%arxiv.org%' then nullif(regexp_extract(url, '(\d{{4}}\.\d{{4,5}})(v\d+)?', 1), '') end as a from pages)"""
     q["s4_sanitize_filename"] = r"select page_id, coalesce(nullif(trim(regexp_replace(url, '[^\p{L}\p{N}_.\-]+', '_', 'g'), '_'), ''), 'download') as name from pages"
     q["s6_url_stem"] = rf"select page_id, coalesce(nullif(regexp_replace(regexp_extract({_PATH}, '([^/]+)/*$', 1), '([^.])\.[^.]+$', '\1'), ''), nullif(replace({_HOST}, '.', '_'), ''), 'paper') as stem from pages"

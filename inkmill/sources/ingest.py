@@ -28,13 +28,13 @@ def classify_urls(urls: DataFrame, column: str = "url") -> DataFrame:
     arxiv = f"nullif(regexp_extract({column}, '{_ARXIV}', 1), '')"
     rows = urls.withColumn("arxiv_id", F.expr(f"case when contains(lower({host}), 'arxiv.org') then {arxiv} end"))
     kind = f"case when {host} = '' then null when arxiv_id is not null then 'arxiv' when endswith(lower({path}), '.pdf') then 'pdf' else 'html' end"
-    tries = f"""case when arxiv_id is not null then array(concat('https://arxiv.org/html/', arxiv_id), concat('https://ar5iv.labs.arxiv.org/html/', arxiv_id), concat('https://arxiv.org/pdf/', arxiv_id))
+    tries = f"""case when arxiv_id is not null then array(concat('https://arxiv.org/html/', arxiv_id), concat('https://ar5iv.labs.arxiv.org/html/', arxiv_id), concat('https://arxiv.org/pdf/', arxiv_id, '.pdf'))
       when {host} <> '' then array({column}) else cast(array() as array<string>) end"""
     return rows.withColumn("kind", F.expr(kind)).withColumn("candidates", F.expr(tries))
 
 
 def sanitize_filename(sql: str) -> str:
-    return f"coalesce(nullif(trim(both '_' from regexp_replace({sql}, '(?U)[^\\\\w.\\\\-]+', '_')), ''), 'download')"
+    return f"coalesce(nullif(trim(both '_' from regexp_replace({sql}, '[^\\\\p{{L}}\\\\p{{N}}_.\\\\-]+', '_')), ''), 'download')"
 
 
 def url_stem(url: str) -> str:

@@ -71,10 +71,78 @@ def test_collect_and_audit(spark):
     final, report = pipeline.finalize(prepared, zh)
     assert final.first().final == "# A\n\n正文 [1].\n\n![f](assets/f.png)\n"
     assert report.first().passed
+    refs_only = pipeline.prepare(spark.createDataFrame([(7, "# References\n\nr")], "doc_id long, md string"))
+    final, report = pipeline.finalize(refs_only, zh)
+    assert [(r.doc_id, r.final) for r in final.collect()] == [(7, "\n")] and report.first().excluded_segments == 1
     final, report = pipeline.finalize(prepared, zh.limit(0))
     assert final.first().final.startswith("[!MISSING TRANSLATION: sec_0001]")
 
 
+def audited(spark, md, change, **options):
+    prepared = pipeline.prepare(spark.createDataFrame([(1, md, "p")], "doc_id long, md string, stem string"))
+    rows = [(r.doc_id, r.id, change(r.text)) for r in units.explode_units(prepared).filter("not is_reference").collect()]
+    return pipeline.finalize(prepared, spark.createDataFrame(rows, "doc_id long, unit_id string, zh string"), **options)[1].first()
+
+
+@pytest.mark.parametrize("check, md, change", [
+    ("B1", "a\n\nb\n\nc", lambda t: "a b c d e"),
+    ("B2", "x ![f](assets/f.png)", lambda t: t.replace("⟦IMAGE_0001⟧", "")),
+    ("B4", "text $x$ more", lambda t: t.replace("⟦INLINE_FORMULA_0001⟧", "")),
+    ("B5", "text\n\n```\ncode\n```", lambda t: t.replace("⟦CODE_0001⟧", "code")),
+    ("B3", "text\n\n| a |\n|---|\n| 1 |\n", lambda t: t.replace("⟦TABLE_0001⟧", "tab")),
+    ("B6", "see [1], then [2] and [3]", lambda t: t.replace("[2]", "二").replace("[3]", "三")),
+    ("B7", "a" * 100, lambda t: "短"),
+    ("B8", "plain text of some length", lambda t: t + " 综上所述"),
+    ("B9", "x $y$ z", lambda t: t.replace("⟦INLINE_FORMULA_0001⟧", "⟦INLINE_FORMULA_0009⟧")),
+    ("B10", "body text here\n\n# References\n\nDoe 2020", lambda t: t + "\n\n# References\n\nDoe 2020"),
+])
+def test_each_check_fires(spark, check, md, change):
+    report = audited(spark, md, change)
+    assert check in [b.id for b in report.blockers] and not report.passed
+    kept = audited(spark, md, lambda t: t)
+    assert kept.passed and check not in [b.id for b in kept.blockers]
+    assert check not in [b.id for b in audited(spark, md, change, config=pipeline.PipelineConfig(skip_checks=(check,))).blockers]
+
+
+def test_missing_images_and_stems(spark):
+    have = spark.createDataFrame([(1, "assets/f.png")], "doc_id long, path string")
+    md = "x ![f](p.assets/f.png) ![g](assets/g.png)"
+    report = audited(spark, md, lambda t: t, assets=have)
+    assert [(b.id, b.evidence) for b in report.blockers] == [("B11", ["assets/g.png"])]  # the mirrored image is the same one
+    assert pipeline.gate(spark.createDataFrame([(1, False)], "doc_id long, passed boolean"), pipeline.PipelineConfig(force=True)).first().released
+
+
+def test_report_and_fix_tasks(spark):
+    prepared = pipeline.prepare(spark.createDataFrame([(1, "# A\n\n" + "word " * 60 + "\n\n# B\n\nplain english words here")], "doc_id long, md string"))
+    zh = spark.createDataFrame([(1, "sec_0001", "短"), (1, "sec_0002", "plain english words here # B")], "doc_id long, unit_id string, zh string")
+    _, report = pipeline.finalize(prepared, zh)
+    tasks = {(r.blocker, r.target): r.prompt for r in qa.fix_prompts(report).collect()}
+    assert ("B7", "sec_0001") in tasks and "zh_per_segment/sec_0001.zh.md" in tasks["B7", "sec_0001"] and "| B7 |" in tasks["INDEX", ""]
+    text = qa.render_report(report).first().report
+    assert "| citation | 0 | 0 |" in text and "### W4" in text and "| sec_0001 | 308 | 1 | 0.0 | BAD |" in text and "**阻断**" in text
+
+
+def test_paged_source(spark):
+    pages = spark.createDataFrame([(d, n, f"page {n} of {d}") for d, m in ((1, 3), (2, 10)) for n in range(1, m + 1)] + [(2, 11, "References")], "doc_id long, page_no int, text string")
+
+    def convert(row):
+        if row["start_page"] == 5:
+            raise RuntimeError("broken")
+        return "\n\n".join(row["texts"])
+
+    config = pipeline.PipelineConfig(pdf_chunk_pages=4)
+    md, states = pipeline.paged_source(pages, convert, lambda row: "light", config)
+    got = {r.doc_id: r.md for r in md.collect()}
+    assert got[1].startswith("<!-- PDF_CHUNK chunk_001_p001-p003 pages=1-3 -->\n\npage 1 of 1") and "light" in got[2] and "page 10 of 2" in got[2] and "References" not in got[2]
+    assert sorted((r.doc_id, r.chunk_id, r.engine) for r in states.collect())[2] == (2, "chunk_002_p005-p008", "pymupdf")
+    status = spark.createDataFrame([(2, "chunk_001_p001-p004", "marker", 9), (2, "chunk_002_p005-p008", "pymupdf", 9)], "doc_id long, chunk_id string, engine string, source_md_size long")
+    done = spark.createDataFrame([(2, "chunk_001_p001-p004", "kept"), (2, "chunk_002_p005-p008", "old")], "doc_id long, chunk_id string, md string")
+    for again, want in ((False, "old"), (True, "light")):
+        md, states = pipeline.paged_source(pages, convert, lambda row: "light", pipeline.PipelineConfig(retry_fallback=again), status, done)
+        text = next(r.md for r in md.collect() if r.doc_id == 2)
+        assert "kept" in text and want in text and states.filter("doc_id = 2").count() == 1 + again
+
+
 def test_ratio_bounds(spark):
     unit_rows = spark.createDataFrame([(1, 0, "a", 10, False), (1, 1, "b", 10, False), (1, 2, "c", 10, False)], "doc_id int, unit_idx int, id string, char_len int, is_reference boolean")
     zh = spark.createDataFrame([(1, "a", "x" * 3), (1, "b", "x" * 25), (1, "c", "x" * 26)], "doc_id int, unit_id string, zh string")
@@ -89,15 +157,107 @@ def test_translate_waves(spark, tmp_path):
     assert pipeline.translate(prepared, terms, lambda prompt: 1 / 0, str(tmp_path / "zh")).count() == 3  # nothing is left to do
 
 
-def test_glossary(spark):
+def test_glossary(spark, tmp_path):
     rows = spark.createDataFrame([("An Attention-based étoken 使用attention机制", ), (None,)], "text string")
     terms = spark.createDataFrame([("attention", "注意力", 0), ("token", "词元", 1)], "term string, translation string, pos int")
     assert [r.glossary for r in glossary.matches(rows, terms, "text").collect()] == [["attention -> 注意力"], []]
-
-
-def test_images():
-    assert assemble.normalize_images_text('![a](./x.assets/i.png "t") ![b](http://h/i.png)', "x") == '![a](assets/i.png "t") ![b](http://h/i.png)'
-    assert assemble.split_target("<a b.png> t") == ("a b.png", "t", True)
+    own = spark.createDataFrame([("token", "标记", 0), ("Attention", "关注", 1), ("_note", "x", 2)], "term string, translation string, pos int")
+    both = glossary.merge(glossary.builtin(spark), own).orderBy("pos").collect()
+    assert len(both) == len(glossary.BUILTIN) + 1 and both[-1].term == "Attention" and {r.term: r.translation for r in both}["token"] == "标记"
+    path = tmp_path / "terms.json"
+    path.write_text('{"_meta": "m", "a b": "甲", "c": "丙"}')
+    assert [(r.term, r.translation) for r in glossary.read_json(spark, str(path)).orderBy("pos").collect()] == [("a b", "甲"), ("c", "丙")]
+
+
+def test_glossary_against_patterns():
+    import random
+    import re
+
+    rng = random.Random(2)
+    terms = sorted({"".join(rng.choice("ab-c µ_.") for _ in range(rng.randint(1, 5))).strip() for _ in range(60)} - {""})
+    find = glossary.TermFinder([(t, t) for t in terms])
+    for _ in range(500):
+        text = "".join(rng.choice("ab-c µ_.中") for _ in range(40))
+        assert find(text) == [t for t in terms if re.search(rf"\b{re.escape(t)}\b", text)]
+
+
+def test_images(spark):
+    def normal(md, stem="x"):
+        return one(spark, assemble.normalize_images("t", "s"), t=md, s=stem)
+
+    assert normal('![a](./x.assets/i.png "t") ![b](http://h/i.png)') == '![a](assets/i.png "t") ![b](http://h/i.png)'
+    assert normal("![a]( <././a b.png> t ) z") == "![a](<a b.png> t) z"
+    assert normal("![](x.assets) ![](x.assetsy/i) ![](a\\b.png) ![](/abs/./i) ![](#f)") == "![](assets) ![](x.assetsy/i) ![](a/b.png) ![](/abs/./i) ![](#f)"
+    assert normal("![a](y.assets/i.png)") == "![a](y.assets/i.png)" and normal("![a](x.assets/i.png)", None) == "![a](x.assets/i.png)"
+    assert normal("no image") == "no image" and normal(None) is None
+    docs = spark.createDataFrame([(1, "![](./assets/a%20b.png) ![](x.assets/c+d.png) ![](https://h/e.png)", "x"), (2, None, None)], "doc_id int, final string, stem string")
+    have = spark.createDataFrame([(1, "assets/a b.png")], "doc_id int, path string")
+    assert [(r.doc_id, r.path, r.n) for r in assemble.missing_images(docs, have, stem="stem").collect()] == [(1, "assets/c+d.png", 1)]
+
+
+def test_line_ends_and_words(spark):
+    """Only a line feed ends a line; word characters are Python's."""
+    md = "# A\nx\u2028# B\ny\r# C\u0085## D\nfoo\u2028### References\nz"
+    docs = spark.createDataFrame([(1, md)], "doc_id int, md string")
+    rows = segment.segments(docs, "md").select(F.explode("segments").alias("g")).select("g.*").collect()
+    assert [(r.section_heading, r.text, r.is_reference) for r in rows] == [("A", md, False)]
+    assert one(spark, clean.dehyphenate("t"), t="x²-\ny é-\nà _-\n_ ½-\na \u0301-\nb") == "x²y éà __ ½a \u0301-\nb"
+    for tail in ("\r", "\u2028", "\u0085", ""):
+        text = f"好,{tail}\n好.{tail}"
+        want = "好，\n好。" if not tail else f"好,{tail}\n好。{tail}"
+        assert one(spark, clean.full_width_punctuation("t"), t=text) == want
+    pages = spark.createDataFrame([(1, n, f"x\u2028references\u2028y" if n == 2 else "x\nReferences \ny" if n == 3 else "z") for n in range(1, 5)], "doc_id int, page_no int, text string")
+    assert chunks.body_end(pages).first().body_end == 2
+
+
+def brute_windows(rows):
+    out = []
+    for i, u in enumerate(rows):
+        same = lambda v: v["h"] == u["h"] and not v["ref"]
+        pieces, used = [], 0
+        for v in rows[i + 1 :]:
+            if not same(v) or used >= 3200:
+                break
+            pieces.append(v["t"][: 3200 - used])
+            used += len(pieces[-1])
+        before = rows[i - 1] if i and same(rows[i - 1]) else None
+        out.append((before["id"] if before else None, before["t"][-3200:] if before else "", "" if u["ref"] else "\n\n".join(pieces).strip(), -1 if u["ref"] else sum(same(v) for v in rows[:i])))
+    return out
+
+
+def test_windows_and_waves_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    docs = []
+    for d in range(12):
+        n = rng.choice([0, 1, 3, 40])
+        from_ref = rng.randrange(n + 5)
+        docs.append((d, [{"id": f"u{k}", "h": rng.choice("AAB"), "ref": k >= from_ref, "t": rng.choice(["x", "yz " * 100, "word " * 700, " s " * 50, "q" * 3200])} for k in range(n)]))
+    table = spark.createDataFrame([(d, [(u["id"], u["h"], 1, u["t"], u["ref"], len(u["t"])) for u in us]) for d, us in docs], "doc_id int, segments array<struct<id:string,section_heading:string,section_level:int,text:string,is_reference:boolean,char_len:int>>")
+    rows = units.windows(units.assign_waves(units.build_units(table))).orderBy("doc_id", "unit_idx").collect()
+    want = [x for _, us in docs for x in brute_windows(us)]
+    assert [(r.previous_id, r.previous_source, r.next_source, r.wave) for r in rows] == want
+
+
+def test_hybrid_units_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    segs = [("ABC"[k // 9 % 3], 1 + k // 15 % 2, "x" * rng.choice([1, 3000, 5998, 11998, 13000])) for k in range(40)]
+    table = spark.createDataFrame([(1, [(f"s{k}", h, lv, t, False, len(t)) for k, (h, lv, t) in enumerate(segs)])], "doc_id int, segments array<struct<id:string,section_heading:string,section_level:int,text:string,is_reference:boolean,char_len:int>>")
+    want, section, last = [], 0, None
+    for k, (h, lv, t) in enumerate(segs):
+        if (h, lv) != last:
+            section, part, used, last = section + 1, 1, 0, (h, lv)
+            want.append((f"sec_{section:04d}", []))
+        elif used + len(t) + 2 > 12000:
+            part, used = part + 1, 0
+            want.append((f"sec_{section:04d}_part_{part:03d}", []))
+        want[-1][1].append(f"s{k}")
+        used += len(t) + 2
+    got = units.explode_units(units.assign_waves(units.build_units(table, "hybrid"))).orderBy("unit_idx").collect()
+    assert [(r.id, r.segment_ids) for r in got] == want
 
 
 def test_chunks(spark):
