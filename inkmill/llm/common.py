@@ -3,24 +3,21 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkmill.plans.stage import stage_folder
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a temporary one.
+    """Use the cluster's shared checkpoint folder.
 
-    The fallback only applies where ``spark.checkpoint.dir`` is unset, which is
-    the case in single-machine tests.
+    A temporary folder stands in where ``spark.checkpoint.dir`` is unset and the
+    master is local, as in tests; a cluster without it is an error.
     """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkmill-checkpoint-"))
+    stage_folder(spark)
 
 
 def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:
