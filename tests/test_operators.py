@@ -119,7 +119,7 @@ def test_report_and_fix_tasks(spark):
     tasks = {(r.blocker, r.target): r.prompt for r in qa.fix_prompts(report).collect()}
     assert ("B7", "sec_0001") in tasks and "zh_per_segment/sec_0001.zh.md" in tasks["B7", "sec_0001"] and "| B7 |" in tasks["INDEX", ""]
     text = qa.render_report(report).first().report
-    assert "| citation | 0 | 0 |" in text and "### W4" in text and "| sec_0001 | 308 | 1 | 0.0 | BAD |" in text and "**阻断**" in text
+    assert "| citation | 0 | 0 |" in text and "### W4" in text and "| sec_0001 | 305 | 1 | 0.0 | BAD |" in text and "**阻断**" in text
 
 
 def test_paged_source(spark):
