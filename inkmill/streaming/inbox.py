@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,18 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 def follow(inbox: DataFrame, store: str, checkpoint: str):
-    """Append each batch's latest rows to ``store``, one folder per batch, so that a repeated batch overwrites itself."""
+    """Append each batch's latest rows to ``store``, one folder per batch of one checkpoint.
+
+    A repeated batch overwrites itself. Batch numbers begin anew with a new
+    checkpoint, so the checkpoint's path is part of the folder's name.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def save(batch: DataFrame, number: int) -> None:
-        latest(batch).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        latest(batch).write.mode("overwrite").parquet(f"{store}/run={run}/batch={number}")
 
     return inbox.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, store: str) -> DataFrame:
-    return latest(spark.read.parquet(store).select("doc_id", "unit_id", "zh", "at"))
+    return latest(spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(store).select("doc_id", "unit_id", "zh", "at"))

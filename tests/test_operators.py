@@ -282,3 +282,58 @@ def test_html_and_urls(spark):
     urls = spark.createDataFrame([("https://arxiv.org/abs/2401.12345v2",), ("http://h/a.PDF",), ("nothing",), (None,)], "url string")
     assert [r.kind for r in ingest.classify_urls(urls).collect()][:3] == ["arxiv", "pdf", None]
     assert one(spark, ingest.url_stem("t"), t="https://a.b/c/d.tar.gz?x") == "d.tar"
+
+
+@pytest.mark.parametrize("page, md", [
+    ("<pre><code>def f():\n    return 1\n\n\n\tx</code></pre>", "```\ndef f():\n    return 1\n\n\n\tx\n```\n"),
+    ("<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>", "- a\n\n  - b\n\n- c\n"),
+    ("<ol start=3><li>a<li>b</ol>", "3. a\n4. b\n"),
+    ("<table><tr><th>h</th><th>i</th></tr><tr><td><p>x</p>y</td><td>2</td></tr></table>", "| h | i |\n| --- | --- |\n| x y | 2 |\n"),
+    ("<blockquote><p>q</p><p>r</p></blockquote>z", "> q\n>\n> r\n\nz\n"),
+    ("<p>a * b_c <code>d_e</code></p>", "a \\\\* b\\\\_c `d_e`\n"),
+    ("<main><h2>T</h2>m</main><article>a</article>", "a\n"),
+    ("<header>n</header><p>x<noscript>y</noscript> z</p>", "x z\n"),
+    ("", "\n"), (None, None),
+])
+def test_html(page, md):
+    got = html.to_markdown(page)
+    assert got == (md.replace("\\\\", "\\") if md else md)
+
+
+def test_inbox(spark, tmp_path):
+    from inkmill.streaming import inbox
+
+    def send(name, rows):
+        spark.createDataFrame(rows, "doc_id long, unit_id string, zh string, at string").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        inbox.follow(inbox.read_inbox(spark, f"{tmp_path}/in"), f"{tmp_path}/store", f"{tmp_path}/{name}").awaitTermination()
+        return {(r.doc_id, r.unit_id): r.zh for r in inbox.current(spark, f"{tmp_path}/store").collect()}
+
+    assert send("one", [(1, "a", "旧", "2024-01-01T00:00:00"), (1, "a", "新", "2024-01-02T00:00:00"), (1, "b", "乙", "2024-01-01T00:00:00")]) == {(1, "a"): "新", (1, "b"): "乙"}
+    assert send("one", [(1, "b", "丙", "2024-01-03T00:00:00")]) == {(1, "a"): "新", (1, "b"): "丙"}
+    assert send("two", [(2, "a", "丁", "2024-01-01T00:00:00")]) == {(1, "a"): "新", (1, "b"): "丙", (2, "a"): "丁"}  # a new checkpoint loses nothing
+
+
+def test_sources_and_artifacts(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes("# A\r\n\r\nx\ry".encode())
+    got = ingest.read_markdown(spark, str(tmp_path / "a.md")).selectExpr("1L as doc_id", "md")
+    assert got.first().md == "# A\n\nx\ny"
+    assert ingest.read_binary(spark, str(tmp_path / "a.md")).first().kind == "markdown"
+    prepared = pipeline.prepare(got)
+    zh = units.explode_units(prepared).selectExpr("doc_id", "id as unit_id", "text as zh").limit(0)
+    folder = str(tmp_path / "out")
+    pipeline.write_artifacts(prepared, pipeline.make_prompts(prepared, None, zh), units.index_rows(units.explode_units(prepared), zh), folder)
+    assert spark.read.json(f"{folder}/units").first().id == "sec_0001" and spark.read.json(f"{folder}/index").first().status == "pending"
+    assert "⟦CODE_0001⟧" in spark.read.parquet(f"{folder}/prompts").first().prompt
+    only_segments = pipeline.prepare(got).drop("units")  # segments serve as units where there are none
+    assert [r.id for r in units.explode_units(assemble.units_of(only_segments)).collect()] == ["seg_0001"]
+
+
+def test_progress_lines_and_boxes(spark):
+    planned = chunks.plan(spark.createDataFrame([(1, 28)], "doc_id long, total_pages int"), 4)
+    status = planned.selectExpr("doc_id", "chunk_id", "'running' as state", "cast(null as string) as engine", "cast(null as string) as error", "0L as source_md_size")
+    rows, totals = chunks.progress(planned, status)
+    line = chunks.summarize(totals, rows).first().summary
+    assert line.startswith("total=7 completed=0 running=7 pending=0 failed=0 active=chunk_001_p001-p004:-") and line.endswith("active_more=2")
+    boxes = spark.createDataFrame([(1, 2, 1, [0.0, 0.0, 29.0, 50.0]), (1, 2, 2, [0.0, 0.0, 30.0, 15.0]), (1, 2, 3, [0.0, 0.0, 90.0, 14.0])], "doc_id long, page int, k int, bbox array<double>")
+    assert [(r.page, r.idx, r.rel_path) for r in chunks.table_boxes(boxes, 3).collect()] == [(5, 1, "assets/tables/table_p005_01.png")]
+    assert chunks.pages_with_text(spark.createDataFrame([("x",), (" \n",)], "text string")).count() == 1
