@@ -76,7 +76,6 @@ class _Writer(HTMLParser):
             if tag == "table":
                 self.tables.append([0, 0])
         elif tag == "tr":
-            self.put("\n")
             if self.tables:
                 self.tables[-1][1] = 0
         elif tag in ("td", "th"):
