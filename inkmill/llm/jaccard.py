@@ -486,8 +486,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the row of its smallest doc_id, with the columns of ``docs``.
 
-    Rows with a null doc_id stay unless they equal another document's set; of
-    repeated rows of one doc_id one stays.
+    Rows with a null doc_id all stay, copies too: there is no smallest id to keep.
+    Of repeated rows of one doc_id one stays.
     """
     found = jaccard_components(docs)
     first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
