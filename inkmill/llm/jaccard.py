@@ -16,10 +16,12 @@ is known, not so that every pair in it is listed.
    place in the prefix bounds which sizes fit (the later, the fewer).
 3. *Rounds.* Documents that share a prefix shingle form a group. In each round a
    group names a few leaders; they are held against the group's members of other
-   components and of fitting size, then leave the group. A group ends when what
-   is left is one component, so a group of near copies ends after a few
-   rounds without all its pairs. The number of leaders grows from
-   round to round, so that every pair of a group is decided in the end.
+   components and of fitting size, then leave the group. Members that no other
+   component of the group has a fitting size for go too, so a group of near
+   copies ends after a few rounds without all its pairs. The number of leaders
+   grows from round to round, so that every pair of a group is decided in the
+   end. Within a round components join by the stars of links around its leaders
+   only; what that leaves apart is joined after the last.
 4. *T-occurrence search* decides: a leader's shingles are the query, the members'
    sets (in blocks of bounded size) the inverted lists. Before sets are moved,
    bitmaps of about a byte a shingle are: a bit that one set has and the other
@@ -45,6 +47,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -60,7 +63,7 @@ SKETCH_BITS = 22
 BLOOM_BITS = 25
 BLOCK = 1 << 16
 #: Leaders that a group names in each round; the last number goes on.
-LEADERS = (1, 8, 64, 512)
+LEADERS = (4, 128, 2048)
 #: Members in one block of inverted lists.
 MEMBERS = 256
 MU = 0.01  # the weight of a binary search against a step of the merge
@@ -202,6 +205,27 @@ def _with_partner(rows: DataFrame) -> DataFrame:
     return marked.filter("__smaller >= n or __next <= most").drop("__smaller", "__next")
 
 
+def _with_partner_elsewhere(rows: DataFrame) -> DataFrame:
+    """As ``_with_partner``, but for partners of another component (rows: h, .., n, most, comp).
+
+    Larger rows: the next of another component. Smaller ones: what the rows so far
+    allow at most, or, where that is one of the own component, a bound for the
+    others: what rows allowed that weren't of the component then on top, and the
+    old top whenever another component's row took its place.
+    """
+    by_size = W.partitionBy("h").orderBy("n", "comp", "rep")
+    marked = rows.withColumn("__lead", F.lead(F.struct("n", "comp")).over(by_size))
+    marked = marked.withColumn("__after", F.when(F.col("__lead.comp") != F.col("comp"), F.col("__lead.n")))
+    marked = marked.withColumn("__next", F.first("__after", ignorenulls=True).over(by_size.rowsBetween(0, W.unboundedFollowing)))
+    marked = marked.withColumn("__top", F.max(F.struct("most", "comp")).over(by_size.rowsBetween(W.unboundedPreceding, 0)))
+    marked = marked.withColumn("__before", F.lag("__top").over(by_size))
+    second = F.when(F.col("__before.comp") != F.col("__top.comp"), F.col("__before.most")).when(F.col("comp") != F.col("__top.comp"), F.col("most"))
+    marked = marked.withColumn("__second", second)
+    marked = marked.withColumn("__others", F.max("__second").over(by_size.rowsBetween(W.unboundedPreceding, -1)))
+    smaller = F.when(F.col("__before.comp") != F.col("comp"), F.col("__before.most")).otherwise(F.col("__others"))
+    return marked.filter((smaller >= F.col("n")) | (F.col("__next") <= F.col("most"))).select(*rows.columns)
+
+
 # --- 4: T-occurrence search ------------------------------------------------------
 
 
@@ -308,10 +332,10 @@ def _dealt(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     """(leader, block, kind, id, *columns): for blocks of pairs the leader's row, then the members'."""
     blocks = pairs.groupBy("leader").agg(F.expr(f"cast(ceil(count(*) / {MEMBERS}) as int)").alias("blocks"))
     placed = pairs.join(blocks, "leader").select("leader", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep")
-    members = placed.join(sets, F.col("rep") == F.col("id")).select("leader", "block", F.lit(1).alias("kind"), "id", *columns)
-    heads = blocks.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    heads = heads.join(sets, F.col("leader") == F.col("id")).select("leader", "block", F.lit(0).alias("kind"), "id", *columns)
-    return members.unionByName(heads).repartition("leader", "block").sortWithinPartitions("leader", "block", "kind")
+    members = placed.select("leader", "block", F.lit(1).alias("kind"), F.col("rep").alias("r"))
+    heads = blocks.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("leader").alias("r"))
+    asked = members.unionByName(heads).join(sets, F.col("r") == F.col("id")).select("leader", "block", "kind", "id", *columns)
+    return asked.repartition("leader", "block").sortWithinPartitions("leader", "block", "kind")
 
 
 def _search(rows: DataFrame) -> DataFrame:
@@ -426,10 +450,33 @@ def components(edges: DataFrame) -> DataFrame:
 # --- 3: rounds ---------------------------------------------------------------------
 
 
+def _contract(links: DataFrame) -> DataFrame:
+    """(node, label): ends of links, with the smallest node of a star of links (a, b) around an a."""
+    star = links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
+    members = links.join(star, "a").select(F.col("b").alias("node"), "label")
+    return members.unionByName(star.withColumnRenamed("a", "node")).groupBy("node").agg(F.min("label").alias("label"))
+
+
+def _between(links: DataFrame, moved: DataFrame) -> DataFrame:
+    """Links (a, b) of representatives as links of their components."""
+    own = moved.select(F.col("rep").alias("r"), F.col("comp").alias("c"))
+    for end in ("a", "b"):
+        links = links.join(own, F.col(end) == F.col("r"), "left").withColumn(end, F.coalesce("c", end)).drop("r", "c")
+    return links.filter("a <> b")
+
+
+def _relabelled(moved: DataFrame, labels: DataFrame) -> DataFrame:
+    """``moved`` (rep, comp) after components have taken the ``labels`` (node, label)."""
+    kept = moved.join(labels, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("label", "comp").alias("comp"))
+    fresh = labels.filter("node <> label").select(F.col("node").alias("rep"), F.col("label").alias("comp"))
+    return cut_lineage(kept.unionByName(fresh).groupBy("rep").agg(F.min("comp").alias("comp")))
+
+
 def _link_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, comp) of representatives whose component isn't their own. ``groups``: h, rep, n, most, comp."""
     spark = groups.sparkSession
     moved = spark.createDataFrame([], "rep long, comp long")
+    found = []
     rounds = 0
     while not groups.isEmpty():
         slots = LEADERS[min(rounds, len(LEADERS) - 1)]
@@ -439,26 +486,23 @@ def _link_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
         leaders = cut_lineage(best.select("h", F.col("l.rep").alias("leader"), F.col("l.n").alias("l_n"), F.col("l.most").alias("l_most"), F.col("l.comp").alias("l_comp")))
         met = groups.join(leaders, "h").filter("rep <> leader and comp <> l_comp and n <= l_most and l_n <= most")
         # of two leaders, the pair is asked for once
-        pairs = met.select("leader", "rep").distinct()
-        pairs = cut_lineage(pairs)
-        pairs = cut_lineage(_rule_out(_dealt(pairs, sets, "n", "bits")))
-        links = cut_lineage(_search(_dealt(pairs, sets, "data")))
+        pairs = cut_lineage(met.select("leader", "rep").distinct())
         groups = groups.join(leaders.select("h", F.col("leader").alias("rep")), ["h", "rep"], "left_anti")
-        if not links.isEmpty():
-            # links of this round, between the components of the rounds before
-            own = moved.select(F.col("rep").alias("r"), F.col("comp").alias("c"))
-            ends = links
-            for end in ("a", "b"):
-                ends = ends.join(own, F.col(end) == F.col("r"), "left").withColumn(end, F.coalesce("c", end)).drop("r", "c")
-            relabel = components(ends.select("a", "b"))
-            kept = moved.join(relabel, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("label", "comp").alias("comp"))
-            fresh = relabel.filter("node <> label").select(F.col("node").alias("rep"), F.col("label").alias("comp"))
-            moved = cut_lineage(kept.unionByName(fresh).groupBy("rep").agg(F.min("comp").alias("comp")))
-            now = moved.select(F.col("rep").alias("r"), F.col("comp").alias("c"))
-            groups = groups.join(now, F.col("rep") == F.col("r"), "left").select("h", "rep", "n", "most", F.coalesce("c", "comp").alias("comp"))
-        open_groups = groups.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
-        groups = cut_lineage(_with_partner(groups.join(open_groups, "h", "left_semi")))
+        if not pairs.isEmpty():
+            pairs = cut_lineage(_rule_out(_dealt(pairs, sets, "n", "bits")))
+            links = cut_lineage(_search(_dealt(pairs, sets, "data")))
+            if not links.isEmpty():
+                found.append(links)
+                moved = _relabelled(moved, _contract(_between(links, moved)))
+                now = moved.select(F.col("rep").alias("r"), F.col("comp").alias("c"))
+                groups = groups.join(now, F.col("rep") == F.col("r"), "left").select("h", "rep", "n", "most", F.coalesce("c", "comp").alias("comp"))
+        # twice, in the same sort: a row may have been kept for one that went
+        groups = cut_lineage(_with_partner_elsewhere(_with_partner_elsewhere(groups)))
         rounds += 1
+    if found:
+        apart = cut_lineage(_between(reduce(DataFrame.union, found), moved))
+        if not apart.isEmpty():
+            moved = _relabelled(moved, components(apart))
     return moved
 
 

@@ -284,6 +284,26 @@ def brute_components(rows):
     return sorted((d, len(s), root(d)) for (d, _), s in zip(rows, sets))
 
 
+def test_rows_without_a_partner_elsewhere_go(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(h), int(r), int(n), int(n * rng.uniform(0.8, 1.25)), int(c)) for h in range(60) for r, n, c in zip(range(int(rng.integers(1, 9))), rng.integers(5, 16, 9), rng.integers(0, 3, 9))]
+    got = {tuple(r) for r in jaccard._with_partner_elsewhere(spark.createDataFrame(rows, "h long, rep long, n int, most int, comp long")).collect()}
+    need = {a for a in rows if any(a[0] == b[0] and a[4] != b[4] and a[2] <= b[3] and b[2] <= a[3] for b in rows)}
+    assert need <= got < set(rows)
+    alone = {h for h in range(60) if len({r[4] for r in rows if r[0] == h}) == 1}
+    assert not alone & {r[0] for r in got}
+
+
+def test_contracted_links_join_only_what_is_connected(spark):
+    moved = spark.createDataFrame([(2, 1), (9, 5)], "rep long, comp long")
+    links = spark.createDataFrame([(2, 9), (9, 7), (7, 8), (8, 11), (11, 12), (20, 21)], "a long, b long")
+    first = jaccard._relabelled(moved, jaccard._contract(jaccard._between(links, moved)))
+    labels = {r.rep: r.comp for r in first.collect()}
+    assert all(labels[k] in (1, 5, 7, 8, 11) and labels[k] < k for k in (2, 5, 7, 8, 9, 11, 12)) and labels[21] == 20
+    last = {r.rep: r.comp for r in jaccard._relabelled(first, jaccard.components(jaccard._between(links, first))).collect()}
+    assert last == {2: 1, 5: 1, 7: 1, 8: 1, 9: 1, 11: 1, 12: 1, 21: 20}
+
+
 def test_jaccard(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(400)]
