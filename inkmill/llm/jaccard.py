@@ -63,7 +63,7 @@ SKETCH_BITS = 22
 BLOOM_BITS = 25
 BLOCK = 1 << 16
 #: Leaders that a group names in each round; the last number goes on.
-LEADERS = (4, 128, 2048)
+LEADERS = (1, 8, 64, 1024)
 #: Members in one block of inverted lists.
 MEMBERS = 256
 MU = 0.01  # the weight of a binary search against a step of the merge
