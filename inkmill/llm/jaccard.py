@@ -4,15 +4,17 @@ Two documents link when 100 * |A and B| >= 80 * |A or B| over their distinct
 5-word shingles. The result is exact; links are looked for so that a component
 is known, not so that every pair in it is listed.
 
-1. *Sets.* One pass over the texts hashes shingles and gives each document its
-   set's size and a 128-bit signature; equal sets share one representative, the
-   smallest doc_id. The same pass counts shingles into a sketch of fixed size.
+1. *Sets.* One pass over the texts hashes shingles and gives each row its set's
+   size, a 64-bit key and another 64 bits by which two sets of one key are found
+   out (then all keys are made anew). From here to the links only sets are known,
+   by their keys: copies are one set, whatever their doc_ids, null or repeated.
+   The same pass counts shingles into a sketch of fixed size.
 2. *Prefixes.* Sets that link share a shingle among the first n - ceil(0.8 n) + 1
    of each, in any common order. The order here is by the sketch's count, in
    powers of two, then by hash: shingles that many documents have come last, so
    that common passages give few candidates. The sketch only sets the order; the
    bound holds whatever it says. After one
-   shuffle by shingle, rows go whose shingle no document of fitting size has; the
+   shuffle by shingle, rows go whose shingle no set of fitting size has; the
    place in the prefix bounds which sizes fit (the later, the fewer).
 3. *Rounds.* Documents that share a prefix shingle form a group. In each round a
    group names a few leaders; they are held against the group's members of other
@@ -29,7 +31,9 @@ is known, not so that every pair in it is listed.
    lists are merged with a heap, members short of the required overlap by more
    than the long lists could add are dropped, and the rest are looked up in the
    long lists by binary search (DivideSkip). How many lists are long follows from
-   the required overlap and the longest list.
+   the required overlap and the longest list. Sets are written once, where they
+   are made; up to ``FEW`` pairs are brought to them, and of more pairs only the
+   sets that they name are moved.
 5. Links join components by repeated minimum labels with pointer jumping.
 
 What is broadcast, the sketch's levels and a Bloom filter, has a fixed size.
@@ -37,9 +41,10 @@ What each step leaves is written to the shared checkpoint folder.
 
 Defined results: null and empty texts and texts without words have no shingles
 and link with nothing; texts of fewer than five words have one shingle. Repeated
-rows are kept and share a component. A null doc_id only links through an equal
-set and its component is then that set's, else null. An empty table gives no
-rows. Other columns are dropped.
+rows are kept and share a component, rows of one doc_id with different texts are
+looked at one by one. Rows with a null doc_id link like others; a component's
+name is its smallest doc_id that isn't null, and null if it has none. An empty
+table gives no rows. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -52,7 +57,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -66,9 +71,12 @@ BLOCK = 1 << 16
 LEADERS = (1, 8, 64, 1024)
 #: Members in one block of inverted lists.
 MEMBERS = 256
+#: Pairs that are broadcast; more of them are joined by a shuffle.
+FEW = 20_000
 MU = 0.01  # the weight of a binary search against a step of the merge
 
-_TEXT = ["cast(doc_id as long) as doc_id", "cast(text as string) as text"]
+_ROW = "xxhash64(cast(doc_id as long), cast(text as string))"
+_TEXT = ["cast(doc_id as long) as doc_id", f"{_ROW} as row", "cast(text as string) as text"]
 
 
 def required(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
@@ -84,8 +92,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _signature(s: np.ndarray) -> tuple[int, int]:
-    one = mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
+def _signature(s: np.ndarray, seed: int) -> tuple[int, int]:
+    """A set's key under ``seed``, and 64 bits more that don't depend on it."""
+    one = mix(s ^ mix(np.uint64([0xA0761D6478BD642F + seed]))).sum(dtype=np.uint64)
     two = mix(s ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)
     return int(np.int64(one.view(np.int64))), int(np.int64(two.view(np.int64)))
 
@@ -122,7 +131,7 @@ def _add_up(blocks: DataFrame, dtype: str) -> np.ndarray | None:
 # --- 1 and 2: sets and prefixes -----------------------------------------------
 
 
-def _sets_and_sketch(docs: DataFrame) -> DataFrame:
+def _sets_and_sketch(docs: DataFrame, seed: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint8)  # up to 255
         seen, any_rows = set(), False
@@ -130,20 +139,21 @@ def _sets_and_sketch(docs: DataFrame) -> DataFrame:
             any_rows = any_rows or len(batch) > 0
             rows = []
             for s in shingle_sets(batch["text"]):
-                sig = _signature(s) if len(s) else (0, 0)
+                sig = _signature(s, seed) if len(s) else (0, 0)
                 rows.append((len(s), *sig))
                 if len(s) and sig not in seen:  # one count for a task's copies
                     seen.add(sig)
                     at = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                     c = counts[at]
                     counts[at] = c + (c < 255)
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2"])
+            out = pd.DataFrame(rows, columns=["n", "key", "more"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
+            out.insert(1, "row", batch["row"].array)
             yield out.assign(block=-1, data=None)
         if any_rows:
-            yield _blocks(counts).assign(doc_id=pd.array([None] * (len(counts) // BLOCK), "Int64"), n=0, s1=0, s2=0)[["doc_id", "n", "s1", "s2", "block", "data"]]
+            yield _blocks(counts).assign(doc_id=pd.array([None] * (len(counts) // BLOCK), "Int64"), row=0, n=0, key=0, more=0)[["doc_id", "row", "n", "key", "more", "block", "data"]]
 
-    return docs.selectExpr(*_TEXT).mapInPandas(trimmed(run), "doc_id long, n long, s1 long, s2 long, block int, data binary")
+    return docs.selectExpr(*_TEXT).mapInPandas(trimmed(run), "doc_id long, row long, n long, key long, more long, block int, data binary")
 
 
 def _order_levels(sketch: np.ndarray | None) -> np.ndarray:
@@ -156,8 +166,8 @@ def _order_levels(sketch: np.ndarray | None) -> np.ndarray:
     return levels
 
 
-def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(h, doc_id, n, most) for each document's prefix, once for a task's copies.
+def _prefixes(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
+    """(h, rep, n, most) for each set's prefix, once for a task's copies; rep is the set's key.
 
     ``most`` is the size of the largest set that may link with this one if h is
     the first shingle that both have: of n shingles i precede h, so the overlap is
@@ -172,17 +182,17 @@ def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             size = 0
 
             def table() -> pd.DataFrame:
-                return pd.DataFrame(dict(zip(("h", "doc_id", "n", "most"), map(np.concatenate, zip(*parts)))))
+                return pd.DataFrame(dict(zip(("h", "rep", "n", "most"), map(np.concatenate, zip(*parts)))))
 
-            for i, s in zip(batch["doc_id"], shingle_sets(batch["text"])):
-                if not len(s) or (sig := _signature(s)) in seen:
+            for s in shingle_sets(batch["text"]):
+                if not len(s) or (sig := _signature(s, seed)) in seen:
                     continue
                 seen.add(sig)
                 n, k = len(s), prefix_length(len(s))
                 by_level = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 first = s[np.argsort(by_level, kind="stable")[:k]]  # s is sorted by hash already
                 most = 9 * (n - np.arange(k)) // 4 - n
-                parts.append((_signed(first), np.full(k, i, np.int64), np.full(k, n, np.int32), most.astype(np.int32)))
+                parts.append((_signed(first), np.full(k, sig[0], np.int64), np.full(k, n, np.int32), most.astype(np.int32)))
                 size += k
                 if size > 300_000:
                     yield table()
@@ -190,7 +200,7 @@ def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             if parts:
                 yield table()
 
-    return docs.selectExpr(*_TEXT).filter("doc_id is not null").mapInPandas(trimmed(run), "h long, doc_id long, n int, most int")
+    return docs.selectExpr(*_TEXT).mapInPandas(trimmed(run), "h long, rep long, n int, most int")
 
 
 def _with_partner(rows: DataFrame) -> DataFrame:
@@ -314,7 +324,7 @@ def _rule_out(rows: DataFrame) -> DataFrame:
                     key, query, n, ids, sizes, bits = (leader, block), None, 0, [], [], []
                 if kind == 0:
                     query, n = data, size
-                else:
+                elif not ids or ids[-1] != doc:  # a row that is repeated gives its set twice
                     ids.append(doc)
                     sizes.append(size)
                     bits.append(data)
@@ -328,14 +338,15 @@ def _rule_out(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(trimmed(run), "leader long, rep long")
 
 
-def _dealt(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+def _dealt(pairs: DataFrame, sets: DataFrame, few: bool, *columns: str) -> DataFrame:
     """(leader, block, kind, id, *columns): for blocks of pairs the leader's row, then the members'."""
     blocks = pairs.groupBy("leader").agg(F.expr(f"cast(ceil(count(*) / {MEMBERS}) as int)").alias("blocks"))
     placed = pairs.join(blocks, "leader").select("leader", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep")
     members = placed.select("leader", "block", F.lit(1).alias("kind"), F.col("rep").alias("r"))
     heads = blocks.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("leader").alias("r"))
-    asked = members.unionByName(heads).join(sets, F.col("r") == F.col("id")).select("leader", "block", "kind", "id", *columns)
-    return asked.repartition("leader", "block").sortWithinPartitions("leader", "block", "kind")
+    named = members.unionByName(heads)
+    asked = sets.join(F.broadcast(named) if few else named, F.col("r") == F.col("id")).select("leader", "block", "kind", "id", *columns)
+    return asked.repartition("leader", "block").sortWithinPartitions("leader", "block", "kind", "id")
 
 
 def _search(rows: DataFrame) -> DataFrame:
@@ -357,7 +368,7 @@ def _search(rows: DataFrame) -> DataFrame:
                 s = np.frombuffer(data, np.uint64)
                 if kind == 0:
                     query = s
-                else:
+                elif not ids or ids[-1] != doc:
                     ids.append(doc)
                     sets.append(s)
             if links:
@@ -370,41 +381,66 @@ def _search(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(trimmed(run), "a long, b long")
 
 
-def _candidate_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(id, n, bits, data): sets of the representatives, and of a few others that the Bloom filter lets through."""
-
-    def positions(ids: np.ndarray) -> list[np.ndarray]:
-        h = mix(ids.astype(np.int64).view(np.uint64))
-        return [(h >> np.uint64(k)).astype(np.int64) & ((1 << BLOOM_BITS) - 1) for k in (0, 13, 26)]
+def _bloom(ids: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of the only column of ``ids``; None if it has no rows."""
+    column = ids.columns[0]
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packed, any_rows = np.zeros(1 << BLOOM_BITS >> 3, np.uint8), False
         for batch in batches:
-            for p in positions(batch["rep"].to_numpy()):
+            for p in _positions(batch[column].to_numpy()):
                 np.bitwise_or.at(packed, p >> 3, (1 << (7 - (p & 7))).astype(np.uint8))
             any_rows = any_rows or len(batch) > 0
         if any_rows:
             yield _blocks(packed)
 
-    bloom = _add_up_bits(reps.mapInPandas(trimmed(build), "block int, data binary"))
+    return _add_up_bits(ids.mapInPandas(trimmed(build), "block int, data binary"))
+
+
+def _positions(ids: np.ndarray) -> list[np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return [(h >> np.uint64(k)).astype(np.int64) & ((1 << BLOOM_BITS) - 1) for k in (0, 13, 26)]
+
+
+def _within(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(ids), bool)
+    for p in _positions(ids):
+        keep &= (packed[p >> 3] >> (7 - (p & 7)) & 1).astype(bool)
+    return keep
+
+
+def _let_through(spark: SparkSession, bloom: np.ndarray, column: str) -> Column:
+    """Whether the filter lets a row through: true for all that it was made of, and a few others."""
+    shared = spark.sparkContext.broadcast(bloom)
+
+    @F.pandas_udf("boolean")
+    def run(ids: pd.Series) -> pd.Series:
+        return pd.Series(_within(shared.value, ids.to_numpy()))
+
+    return run(F.col(column))
+
+
+def _candidate_sets(docs: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
+    """(id, n, bits, data): the sets of ``rows``, and of a few others that the Bloom filter lets through."""
+    schema = "id long, n int, bits binary, data binary"
+    bloom = _bloom(rows)
+    if bloom is None:
+        return docs.sparkSession.createDataFrame([], schema)
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packed = shared.value
+        seen = set()
         for batch in batches:
-            ids = batch["doc_id"].to_numpy()
-            keep = np.ones(len(ids), bool)
-            for p in positions(ids):
-                keep &= (packed[p >> 3] >> (7 - (p & 7)) & 1).astype(bool)
-            part = batch[keep]
+            part = batch[_within(shared.value, batch["row"].to_numpy())]
             for lo in range(0, len(part), 500):
-                some = part.iloc[lo : lo + 500]
-                sets = list(shingle_sets(some["text"]))
-                yield pd.DataFrame({"id": some["doc_id"].to_numpy(), "n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets], "data": [s.tobytes() for s in sets]})
+                found = []
+                for s in shingle_sets(part["text"].iloc[lo : lo + 500]):
+                    if len(s) and (key := _signature(s, seed)[0]) not in seen:
+                        seen.add(key)
+                        found.append((key, len(s), bitmap(s), s.tobytes()))
+                yield pd.DataFrame(found, columns=["id", "n", "bits", "data"])
 
-    if bloom is None:
-        return docs.sparkSession.createDataFrame([], "id long, n int, bits binary, data binary")
-    return docs.selectExpr(*_TEXT).filter("doc_id is not null").mapInPandas(trimmed(run), "id long, n int, bits binary, data binary")
+    return docs.selectExpr(*_TEXT).mapInPandas(trimmed(run), schema)
 
 
 def _add_up_bits(blocks: DataFrame) -> np.ndarray | None:
@@ -488,10 +524,16 @@ def _link_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
         # of two leaders, the pair is asked for once
         pairs = cut_lineage(met.select("leader", "rep").distinct())
         groups = groups.join(leaders.select("h", F.col("leader").alias("rep")), ["h", "rep"], "left_anti")
-        if not pairs.isEmpty():
-            pairs = cut_lineage(_rule_out(_dealt(pairs, sets, "n", "bits")))
-            links = cut_lineage(_search(_dealt(pairs, sets, "data")))
-            if not links.isEmpty():
+        if many := pairs.count():
+            pairs = cut_lineage(_rule_out(_dealt(pairs, sets, many <= FEW, "n", "bits")))
+            many = pairs.count()
+            wanted = sets.select("id", "data")
+            if many > FEW:
+                ends = pairs.select("leader").union(pairs.select("rep"))
+                wanted = wanted.filter(_let_through(spark, _bloom(ends), "id"))
+            if many:
+                links = cut_lineage(_search(_dealt(pairs, wanted, many <= FEW, "data")))
+            if many and not links.isEmpty():
                 found.append(links)
                 moved = _relabelled(moved, _contract(_between(links, moved)))
                 now = moved.select(F.col("rep").alias("r"), F.col("comp").alias("c"))
@@ -506,45 +548,65 @@ def _link_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return moved
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each document."""
-    scan = cut_lineage(_sets_and_sketch(docs))
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, row, n, key) of each row; (key, low, row, c) of each set; (rep, comp) of sets whose component isn't their own."""
+    seed = 0
+    while True:
+        scan = cut_lineage(_sets_and_sketch(docs, seed))
+        own = scan.filter("block < 0").select("doc_id", "row", "n", "key", "more")
+        same = (F.min("more") == F.max("more")) & (F.min("n") == F.max("n"))
+        keys = cut_lineage(own.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.count(F.lit(1)).alias("c"), same.alias("same")))
+        if keys.filter("not same").isEmpty():
+            break
+        seed += 1  # two sets of one key
     levels = _order_levels(_add_up(scan.filter("block >= 0").select("block", "data"), "u1"))
-    own = scan.filter("block < 0").select("doc_id", "n", "s1", "s2")
-    copies = own.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    mapped = cut_lineage(own.join(copies, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("rep")))
-
-    # one shuffle of the prefixes; what no other document's prefix meets goes
-    several = cut_lineage(_with_partner(_prefixes(docs, levels).repartition("h")))
-    named = several.join(mapped.select("doc_id", "rep").distinct(), "doc_id").groupBy("h", "rep").agg(F.max("n").alias("n"), F.max("most").alias("most"))
-    groups = cut_lineage(_with_partner(named).withColumn("comp", F.col("rep")))
-
-    # laid out by id once, so that the rounds' joins move pairs and not sets
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = _candidate_sets(docs, groups.select("rep").distinct()).repartition(parts, "id").sortWithinPartitions("id")
-    moved = _link_groups(groups, cut_lineage(sets, keep_layout=True))
-    joined = mapped.join(moved, "rep", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
+    # one shuffle of the prefixes; what no other set's prefix meets goes, copies from several tasks become one
+    met = _with_partner(_prefixes(docs, levels, seed).repartition("h")).groupBy("h", "rep").agg(F.max("n").alias("n"), F.max("most").alias("most"))
+    groups = cut_lineage(_with_partner(met).withColumn("comp", F.col("rep")))
+    asked = keys.join(groups.select(F.col("rep").alias("key")).distinct(), "key").select("row")
+    moved = _link_groups(groups, cut_lineage(_candidate_sets(docs, asked, seed)))
+    return own.drop("more"), keys.drop("same"), moved
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component the row of its smallest doc_id, with the columns of ``docs``.
 
-    Rows with a null doc_id all stay, copies too: there is no smallest id to keep.
-    Of repeated rows of one doc_id one stays.
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row."""
+    own, keys, moved = _linked(docs)
+    ends = moved.union(moved.select("comp", "comp")).distinct()
+    lows = keys.join(ends, F.col("key") == F.col("rep")).groupBy("comp").agg(F.min("low").alias("low"))
+    # a component's smallest id is none above that of one of its sets
+    names = keys.filter("c > 1").select("key", "low").unionByName(ends.join(lows, "comp").select(F.col("rep").alias("key"), "low"))
+    joined = own.join(names.groupBy("key").agg(F.min("low").alias("low")), "key", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.expr("case when n > 0 and low is not null then low else doc_id end").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, nameless: bool = False) -> DataFrame:
+    """Of each component one row, that of its smallest doc_id, with the columns of ``docs``.
+
+    Of repeated rows of one doc_id and text one stays; rows of one doc_id with
+    other texts are documents of their own. Rows with a null doc_id all stay,
+    copies too, unless ``nameless``: then they take part, behind all others, and
+    only those without words all stay.
+
+    No text moves but that of rows that go or are repeated, and of a few that a
+    Bloom filter takes for them.
     """
-    found = jaccard_components(docs)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
-    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        again = F.broadcast(repeated.select(F.col("doc_id").alias("__again"))) if repeated.count() <= 10_000 else repeated.select(F.col("doc_id").alias("__again"))
-        twice = F.col("doc_id") == F.col("__again")
-        kept = kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id"]))
-    nameless = docs.filter("doc_id is null")
-    if not nameless.isEmpty():
-        kept = kept.unionByName(nameless)
-    return kept.select(docs.columns)
+    own, _, moved = _linked(docs)
+    rows = own.join(moved, F.col("key") == F.col("rep"), "left").groupBy("doc_id", "row").agg(F.max("n").alias("n"), F.min(F.coalesce("comp", "key")).alias("comp"), F.count(F.lit(1)).alias("c"))
+    rows = cut_lineage(rows.filter("doc_id is not null or n > 0" if nameless else "doc_id is not null"))
+    best = rows.filter("n > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best")).select("comp", F.col("best.row").alias("best"))
+    decided = rows.join(best, "comp", "left").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "c", F.expr("n > 0 and row <> best").alias("__goes"))
+    decided = cut_lineage(decided.filter("__goes or c > 1").select("__id", "__row", "__goes"))
+    bloom = _bloom(decided.select("__row"))
+    if bloom is None:
+        return docs
+    marked = docs.withColumn("__r", F.expr(_ROW))
+    through = _let_through(docs.sparkSession, bloom, "__r")
+    met = marked.filter(through).join(decided, (F.col("__r") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    kept = marked.filter(~through).select(docs.columns).unionByName(met.filter("__goes is null").select(docs.columns))
+    if not decided.filter("not __goes").isEmpty():
+        kept = kept.unionByName(met.filter("not __goes").dropDuplicates(["__id", "__row"]).select(docs.columns))
+    return kept
 
 
 def op6_ngram_jaccard_join(spark, sf_dir):

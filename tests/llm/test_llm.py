@@ -489,3 +489,27 @@ def test_bitmaps_rule_out_no_link():
         left = set(jaccard.may_link(jaccard.bitmap(query), len(query), [jaccard.bitmap(m) for m in members], sizes))
         assert links <= left
         assert set(jaccard.divide_skip(query, members)) == links
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_jaccard_moves_only_the_sets_that_pairs_name(spark, monkeypatch, few):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(300)) for _ in range(40))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(20)] + [(200 + i, rows[i % 3][1]) for i in range(9)]
+    seen, search = [], jaccard._dealt
+
+    def dealt(pairs, sets, fits, *columns):
+        seen.append((columns, fits, sets.count()))
+        return search(pairs, sets, fits, *columns)
+
+    monkeypatch.setattr(jaccard, "_dealt", dealt)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    assert collect(jaccard.jaccard_components(edge(spark, rows)), "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows), key=repr)
+    assert seen and all(fits == (few > 0) for _, fits, _ in seen)
+
+
+def test_jaccard_makes_keys_anew_where_two_sets_share_one(spark, monkeypatch):
+    own = jaccard._signature
+    monkeypatch.setattr(jaccard, "_signature", lambda s, seed: own(s, seed) if seed else (1, own(s, 0)[1]))
+    rows = [(1, "a b c d e"), (2, "f g h i j"), (3, "a b c d e")]
+    assert collect(jaccard.jaccard_components(edge(spark, rows)), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 1)]
