@@ -9,7 +9,8 @@ the last returns one row per packed piece.
   texts, and scores under the calibrated threshold).
 * ``toxicity``: documents predicted toxic go.
 * ``near_duplicates``: of each group of documents that link by the Jaccard
-  similarity of their 5-word shingles, 0.8 or more, the smallest doc_id stays.
+  similarity of their 5-word shingles, 0.8 or more, the smallest doc_id stays;
+  a null one is behind all others, and of a group without ids one row stays.
 * ``packing``: what is left is cut and packed into sequences of 2048 tokens.
 
 Each stage handles nulls in any column, empty tables, repeated rows and extra
@@ -33,7 +34,7 @@ def toxicity_filter(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, nameless=True)
 
 
 def pack_sequences(spark, docs, sf_dir):

@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from inkmill.llm import chat, jaccard, langid, media, packing, quality, sentencepieces, sharding, shingles, toxicity, urls
 
 EDGE = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, ""), (4, "one two"), (5, "ONE two"), (6, "x " * 30_000), (7, " \n\t")]
@@ -513,3 +514,15 @@ def test_jaccard_makes_keys_anew_where_two_sets_share_one(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_signature", lambda s, seed: own(s, seed) if seed else (1, own(s, 0)[1]))
     rows = [(1, "a b c d e"), (2, "f g h i j"), (3, "a b c d e")]
     assert collect(jaccard.jaccard_components(edge(spark, rows)), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_rows_without_an_id_link_and_one_of_a_group_stays(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [(7, " ".join(base)), (None, near), (None, near), (None, "p q r s t u"), (None, "p q r s t u"), (None, ""), (None, "")]
+    got = collect(jaccard.jaccard_components(edge(spark, rows)), "doc_id", "component_id")
+    assert got == sorted([(7, 7), (None, 7), (None, 7), *[(None, None)] * 4], key=repr)
+    kept = corpus_pipeline.near_duplicates(spark, edge(spark, rows), None)
+    want = [(7, " ".join(base)), (None, "p q r s t u"), (None, ""), (None, "")]
+    assert kept.columns == edge(spark).columns and collect(kept, "doc_id", "text") == sorted(want, key=repr)
+    assert collect(jaccard.keep_one(edge(spark, rows)), "doc_id", "text") == sorted(rows, key=repr)
