@@ -493,7 +493,7 @@ def test_bitmaps_rule_out_no_link():
 
 
 @pytest.mark.parametrize("few", [0, 20_000])
-def test_jaccard_moves_only_the_sets_that_pairs_name(spark, monkeypatch, few):
+def test_jaccard_joins_few_and_many_pairs_alike(spark, monkeypatch, few):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(300)) for _ in range(40))) for i in range(60)]
     rows += [(100 + i, rows[i][1] + " end") for i in range(20)] + [(200 + i, rows[i % 3][1]) for i in range(9)]
@@ -526,3 +526,10 @@ def test_rows_without_an_id_link_and_one_of_a_group_stays(spark):
     want = [(7, " ".join(base)), (None, "p q r s t u"), (None, ""), (None, "")]
     assert kept.columns == edge(spark).columns and collect(kept, "doc_id", "text") == sorted(want, key=repr)
     assert collect(jaccard.keep_one(edge(spark, rows)), "doc_id", "text") == sorted(rows, key=repr)
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(9, other), (9, "k l m n o p"), (9, "k l m n o p"), (12, other + " end"), (13, "k l m n o p")]
+    assert collect(jaccard.jaccard_components(edge(spark, rows)), "doc_id", "component_id") == sorted([(9, 9)] * 3 + [(12, 9), (13, 9)], key=repr)
+    assert collect(jaccard.keep_one(edge(spark, rows)), "doc_id", "text") == sorted([(9, other), (9, "k l m n o p")], key=repr)
